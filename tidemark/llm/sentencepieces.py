@@ -72,6 +72,7 @@ class Pieces:
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else unk if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.raw = raw
         self.silent = np.array([sp.is_control(i) for i in range(n)])
+        self.spaced = np.array([p[0] == MARK for p in names])
         self.guard = int(self.char[ord(".")])  # any piece without a mark
         self.raw_len = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
@@ -176,8 +177,7 @@ class Pieces:
         n = self.raw_len[ids]
         ends = np.cumsum(n)
         out = self.raw_flat[np.repeat(self.raw_at[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        shown = np.flatnonzero(n)
-        if len(shown) and out[:1] == b" " and (ids[shown[0]] >= self.size or self.raw[ids[shown[0]]][:4] != b" \xe2\x81\x87"):
+        if len(ids) and self.spaced[ids[0]]:
             out = out[1:]
         return out.decode("utf-8", "piecewise")
 
