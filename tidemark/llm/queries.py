@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, language, licenses, linededup, secrets, sentencepieces, simhash, toxicity
+from . import chats, decontaminate, images, language, licenses, linededup, secrets, sentencepieces, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and a digest of what is left of each document."""
     out = linededup.dedup(table(spark, sf_dir, "documents"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of `embeddings` drawn as pictures: the tables hold no other images."""
+    return images.copies(images.drawn(table(spark, sf_dir, "embeddings")))
