@@ -7,7 +7,7 @@ together; they count only if the words behind the placeholders are consistent: o
 item always stands for one value in the document. A re-parameterised question matches with
 other values. DataFrame functions only.
 
-Before the join, document windows pass a table of one byte per hash slot that marks the
+Before the join, document windows pass a table of one bit per hash slot that marks the
 benchmark's windows. Its size is fixed, so a larger benchmark only lets more windows through.
 """
 
@@ -37,6 +37,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATOR, -1), lambda x: x != "")
 
 
+def _bit(marked: bytes, k: Column) -> Column:
+    """Whether bit k is set; seven bits a byte, so that each byte is an ASCII character."""
+    return F.ascii(F.substring(F.lit(marked), F.floor(k / 7).cast("int") + 1, F.lit(1)).cast("string")).bitwiseAND(F.call_function("shiftleft", F.lit(1), k % 7)) != 0
+
+
 def _windows(text: Column, width: int, marked: bytes | None) -> Column:
     """Array of (pos, h, slots): hashes of canonical windows with at least 3 plain words, and (place, raw word) of their placeholders."""
     plain = lambda w: ~F.rlike(w, F.lit(f"[{NAME}{NUMBER}{UNIT}]"))
@@ -52,7 +57,7 @@ def _windows(text: Column, width: int, marked: bytes | None) -> Column:
     def kept(w: Column) -> Column:
         hs = hashed(w)
         if marked is not None:
-            hs = F.filter(hs, lambda x: F.substring(F.lit(marked), F.pmod(x["h"], F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+            hs = F.filter(hs, lambda x: _bit(marked, F.pmod(x["h"], F.lit(SLOTS)).cast("int")))
         return F.filter(hs, lambda x: F.size(F.filter(F.slice(w, x["pos"] + 1, F.lit(width)), plain)) >= 3)
 
     def slots(w: Column, hs: Column) -> Column:
@@ -86,10 +91,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     item = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     own = item.select("item", F.explode(_windows(F.col("t"), width, None)).alias("w")).select("item", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("item_slots")).distinct()
     sizes = own.groupBy("item").agg(F.countDistinct("item_pos").alias("item_windows"))
-    marks = bytearray(SLOTS)
+    marks = bytearray(SLOTS // 7 + 1)
     # at most SLOTS rows, whatever the benchmark's size
     for r in own.select(F.pmod("h", F.lit(SLOTS)).alias("k")).distinct().collect():
-        marks[r.k] = 1
+        marks[r.k // 7] |= 1 << r.k % 7
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.explode(_windows(text, width, bytes(marks))).alias("w"))
     seen = seen.select("id", "row", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots")).distinct()
