@@ -105,13 +105,17 @@ def _contexts(rows: DataFrame, listed: frozenset[str]) -> dict[str, int]:
     return {r.feature: r.n for r in got.collect()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", candidates: int = 20_000, entries: int = 4_000) -> dict[str, float]:
-    """Lexicon: feature to weight. All training rows are counted; `candidates` and `entries` bound the model, not the rows.
+def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", candidates: int = 20_000, entries: int = 4_000, sample_rows: int = 50_000) -> dict[str, float]:
+    """Lexicon: feature to weight, fitted on about `sample_rows` labelled rows at most, by a hash of the id.
 
+    The labels of the sample are as many as that parameter says and go to every task, so texts aren't shuffled.
     Rows with a null id or label teach nothing; an id with several labels counts as toxic if one says so.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").where(train).join(y, "id")
+    y = y.where(train)
+    share = sample_rows / max(y.count(), 1)
+    y = y.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(share, 1.0) * (1 << 20)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(y), "id")
     toxic, clean = rows.where("y = 1"), rows.where("y <> 1")
     seen = _count(toxic, None).where("n >= 3").orderBy(F.desc("n"), "feature").limit(candidates + 1).collect()
     bad = {r.feature: r.n for r in seen}
