@@ -31,7 +31,7 @@ codecs.register_error("piecewise", lambda e: ("�", e.start + 1))
 class Pieces:
     """Vocabulary, pair table and the encoder and decoder over it."""
 
-    def __init__(self, path: str, cache_words: int = 600_000) -> None:
+    def __init__(self, path: str, cache_words: int = 400_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
