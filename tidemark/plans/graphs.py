@@ -1 +1,172 @@
-"""Queries."""
+"""Dependency, lineage and privacy queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..operators import graph as G
+from ..operators import privacy as P
+from ..registry import query
+
+
+def _seeds(spark: SparkSession, *nodes: int) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in nodes], "seed long")
+
+
+REACH = "with recursive r(seed, node, depth) as (select s, dst, 1 from {seeds} join v_edges on src = s union select seed, dst, depth + 1 from r join v_edges on src = node), c as (select seed, node, min(depth) as depth from r group by 1, 2) "
+SEED = lambda *n: "(select unnest([" + ", ".join(map(str, n)) + "]) as s)"
+ALL = "(select distinct p_partkey as s from part where p_partkey between 1 and 300)"
+
+
+@query(REACH.format(seeds=SEED(5, 7)) + "select * from c")
+def graph_downstream(spark: SparkSession, sf: str) -> DataFrame:
+    return G.closure(fx.edges(spark, sf), _seeds(spark, 5, 7))
+
+
+@query(REACH.format(seeds=SEED(300, 155)).replace("select s, dst, 1 from", "select s, src, 1 from").replace("on src = s", "on dst = s").replace("select seed, dst, depth + 1", "select seed, src, depth + 1").replace("on src = node", "on dst = node") + "select * from c")
+def graph_upstream(spark: SparkSession, sf: str) -> DataFrame:
+    return G.closure(fx.edges(spark, sf), _seeds(spark, 300, 155), "up")
+
+
+@query("with recursive r(node, level) as (select src, 0 from v_edges where src not in (select dst from v_edges) union select dst, level + 1 from r join v_edges on src = node) select node, max(level) as level from r group by 1")
+def graph_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return G.levels(fx.edges(spark, sf))
+
+
+@query("with recursive e as (select * from v_edges union all select 40, 5), r(node) as (select dst from (select 40 as src, 5 as dst) union select e.dst from r join e on e.src = r.node) select distinct node from r")
+def graph_cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    back = spark.createDataFrame([(40, 5)], "src long, dst long")
+    return G.cyclic_nodes(fx.edges(spark, sf).union(back))
+
+
+@query(REACH.format(seeds=SEED(10, 11, 250)) + ", n as (select node, min(seed) filter (depth = 1) as parent, min(seed) as ancestor from c group by 1) select coalesce(n.node, o.node) as node, coalesce(own, 'downstream of ' || coalesce(parent, ancestor)) as reason from n full join (select 10 as node, 'changed' as own union all select 11, 'changed' union all select 250, 'new') o on o.node = n.node")
+def graph_affected(spark: SparkSession, sf: str) -> DataFrame:
+    return G.affected(fx.edges(spark, sf), _seeds(spark, 10, 11).withColumnRenamed("seed", "node"), _seeds(spark, 250).withColumnRenamed("seed", "node"))
+
+
+CHANGES = [(5, "c2", "REMOVE", False), (7, "c1", "TYPE_CHANGE", True), (7, "c0", "ADD", True)]
+
+
+@query(REACH.format(seeds=SEED(5, 7)) + f""", ch as (select * from {fx.values(CHANGES, '"table", "column", kind, compatible')}), refs as (select "table" as node, t as tbl, col from v_lineage, (select unnest([5, 7]) as t), (select unnest(['c0', 'c1', 'c2']) as col) where ("table" + t + ascii(col[2])) % 2 = 0),
+  u as (select c.node, depth, ch."column" as col, kind, compatible, c.node % 7 = 0 and ch."column" = 'c2' as promised from c join ch on ch."table" = seed join refs on refs.node = c.node and refs.tbl = ch."table" and refs.col = ch."column")
+  select node, min(depth) as depth, list_sort(list(distinct col)) as columns, case max(case when promised or kind = 'REMOVE' or kind = 'TYPE_CHANGE' and not compatible then 2 when kind = 'TYPE_CHANGE' then 1 else 0 end) when 2 then 'BREAKING' when 1 then 'WARNING' else 'INFO' end as severity from u group by 1""")
+def impact_column_change(spark: SparkSession, sf: str) -> DataFrame:
+    changes = spark.createDataFrame(CHANGES, "table long, column string, kind string, compatible boolean")
+    nodes = fx.lineage(spark, sf).select(F.col("table").alias("node")).distinct()
+    refs = nodes.withColumn("table", F.explode(F.array(F.lit(5), F.lit(7)).cast("array<long>"))).withColumn("column", F.explode(F.array(F.lit("c0"), F.lit("c1"), F.lit("c2")))).where("(node + table + ascii(substring(column, 2, 1))) % 2 = 0")
+    contracts = nodes.where("node % 7 = 0").select("node", F.lit("c2").alias("column"))
+    return G.impact(fx.edges(spark, sf), refs, contracts, changes)
+
+
+@query(REACH.format(seeds=SEED(6)) + "select node, depth, node not in (select dst from v_edges where src <> 6) as orphan from c")
+def impact_removal(spark: SparkSession, sf: str) -> DataFrame:
+    return G.removal(fx.edges(spark, sf), 6)
+
+
+@query("""with recursive r(t, c, depth) as (select source_table, source_column, 1 from v_lineage where "table" = 300 and "column" = 'c0' union select l.source_table, l.source_column, depth + 1 from r join v_lineage l on l."table" = t and l."column" = c)
+  select t::varchar as "table", c as "column", min(depth) as depth, t not in (select "table" from v_lineage) as terminal from r group by t, c""")
+def lineage_trace(spark: SparkSession, sf: str) -> DataFrame:
+    return G.lineage_trace(fx.lineage(spark, sf), 300, "c0")
+
+
+def _probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "part").where("p_partkey between 1 and 300").select(F.col("p_partkey").alias("node"), ((F.col("p_size") % 10) / 10).alias("p"))
+
+
+@query(REACH.format(seeds=ALL) + """, p as (select p_partkey as node, (p_size % 10) / 10 as p from part where p_partkey between 1 and 300), u as (select c.node, max(p * pow(0.8::double, depth)) as ur, min(p) as weakest from c join p on p.node = seed group by 1), d as (select seed as node, count(*) as dn from c group by 1),
+  j as (select p.node, p, coalesce(ur, 0) as ur, weakest, least(1, coalesce(dn, 0) * p / (select count(*) from p)) as cascade from p left join u using (node) left join d using (node)) select node, round(ur, 6) as upstream_risk, round(cascade, 6) as cascade, round(least(10 * (0.4::double * p + 0.3::double * least(ur, 1) + 0.3::double * cascade), 10), 2) as score, p > 0.3 and coalesce(weakest, 1) > 0.3 as critical from j""")
+def fragility(spark: SparkSession, sf: str) -> DataFrame:
+    return G.fragility(fx.edges(spark, sf), _probabilities(spark, sf))
+
+
+@query("select distinct src from v_edges where src not in (select p_partkey from part where p_partkey % 3 <> 0)")
+def unknown_refs(spark: SparkSession, sf: str) -> DataFrame:
+    known = fx.table(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("src"))
+    return fx.edges(spark, sf).select("src").distinct().join(known, "src", "left_anti")
+
+
+@query("select distinct src, dst from (select src, dst from v_edges union all select dst % 50, dst from v_edges) where src <> dst")
+def edges_union(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.edges(spark, sf)
+    return e.union(e.select((F.col("dst") % 50).alias("src"), "dst")).where("src <> dst").distinct()
+
+
+@query(REACH.format(seeds=ALL) + """, d as (select seed as node, max(depth) as depth, count(*) filter (node % 20 = 0) as sla, count(*) filter (node % 30 = 7) as dash, count(*) filter (node % 11 = 0) as crit from c group by 1), s as (select node, (p_size % 10) / 10 as p, least(1.5 * depth, 6) + case when sla > 0 then 3 else 0 end + case when dash > 0 then 2 else 0 end + case when (p_size % 10) / 10 > 0.05 then 1 else 0 end + 0.5 * crit as raw from d join part on p_partkey = node)
+  select node, round(least(10, raw), 2)::double as score, least(10, raw) >= 3 as needs_approval, least(10, raw) >= 7 as critical from s""")
+def risk_score(spark: SparkSession, sf: str) -> DataFrame:
+    """0 to 10 from the depth and the tags of what lies downstream, and the node's own failure rate."""
+    p = _probabilities(spark, sf)
+    d = G.closure(fx.edges(spark, sf), p.select(F.col("node").alias("seed"))).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("depth"), F.count_if(F.col("node") % 20 == 0).alias("sla"), F.count_if(F.col("node") % 30 == 7).alias("dash"), F.count_if(F.col("node") % 11 == 0).alias("crit"))
+    raw = F.least(1.5 * F.col("depth"), F.lit(6.0)) + F.when(F.col("sla") > 0, 3).otherwise(0) + F.when(F.col("dash") > 0, 2).otherwise(0) + F.when(F.col("p") > 0.05, 1).otherwise(0) + 0.5 * F.col("crit")
+    return d.join(p, "node").withColumn("s", F.least(F.lit(10.0), raw)).select("node", F.round("s", 2).alias("score"), (F.col("s") >= 3).alias("needs_approval"), (F.col("s") >= 7).alias("critical"))
+
+
+def _sql_scrub(profile: str) -> str:
+    out = "text"
+    for pattern, to in P.PROFILES[profile]:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace(chr(39), chr(39) * 2).replace('$1', chr(92) + '1')}', 'g')"
+    return out
+
+
+@query(f"select doc_id, {_sql_scrub('telemetry')} as text from documents")
+def pii_scrub(spark: SparkSession, sf: str) -> DataFrame:
+    return P.scrub(fx.table(spark, sf, "documents").select("doc_id", "text"), ["text"])
+
+
+@query(f"select doc_id, {_sql_scrub('prompt')} as text from documents")
+def pii_scrub_llm(spark: SparkSession, sf: str) -> DataFrame:
+    return P.scrub(fx.table(spark, sf, "documents").select("doc_id", "text"), ["text"], "prompt")
+
+
+@query("select doc_id, " + " or ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p, _ in P.TELEMETRY) + " as has_pii from documents")
+def pii_flag(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "documents").select("doc_id", P.contains_pii(F.col("text")).alias("has_pii"))
+
+
+@query(f"select p_partkey, {_sql_scrub('sql')} as text from (select p_partkey, 'select * from t where name = ''' || p_name || ''' and mail = ''a' || p_partkey || '@x.org''' as text from part)")
+def sql_literal_scrub(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.concat(F.lit("select * from t where name = '"), "p_name", F.lit("' and mail = 'a"), F.col("p_partkey").cast("string"), F.lit("@x.org'"))
+    return P.scrub(fx.table(spark, sf, "part").select("p_partkey", s.alias("text")), ["text"], "sql")
+
+
+@query("select substr(sha256('salt' || user_id), 1, 16) as user_id, count(*) as n from events group by 1")
+def anonymize_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return P.anonymize(fx.events(spark, sf).select("user_id"), ["user_id"], "salt").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, case when user_id % 3 = 1 then substr(sha256('salt' || user_id), 1, 16) else user_id::varchar end as user_id from events where user_id % 3 <> 0")
+def consent_filter(spark: SparkSession, sf: str) -> DataFrame:
+    consent = F.when(F.col("user_id") % 3 == 1, "anonymized").when(F.col("user_id") % 3 == 2, "full")
+    return P.apply_consent(fx.events(spark, sf).withColumn("consent", consent), "consent", ["user_id"], ["event_type"], "salt").select("event_id", "user_id")
+
+
+@query("select event_id, ts from events where ts >= timestamp '2024-01-31' - interval 10 day")
+def retention_purge(spark: SparkSession, sf: str) -> DataFrame:
+    return P.purge(fx.events(spark, sf).select("event_id", "ts"), "ts", 10, fx.NOW)
+
+
+@query("select event_id, case when user_id = 3 then '[REDACTED]' else user_id::varchar end as user_id, case when user_id <> 3 then props end as props, user_id = 3 as is_anonymized from events")
+def gdpr_erase(spark: SparkSession, sf: str) -> DataFrame:
+    return P.erase(fx.events(spark, sf).select("event_id", "user_id", "props"), "user_id", 3, "props")
+
+
+@query("select event_id, sha256(event_id || '|' || user_id || '|' || event_type || '|' || props) as hash from events")
+def audit_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.events(spark, sf).select("event_id", P.audit_hash(["event_id", "user_id", "event_type", "props"]).alias("hash"))
+
+
+@query("select user_id, user_id <> 3 as valid, case when user_id = 3 then 24 else count(*) end as checked from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events where user_id < 10) where rn <= 50 group by 1")
+def audit_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of 50 events of ten users; user 3's 25th row was altered, user 4's 10th anonymised."""
+    from ..operators.select import top_n
+
+    e = top_n(fx.events(spark, sf).where("user_id < 10"), ["user_id"], [F.col("ts"), F.col("event_id")], 50)
+    log = P.audit_chain(e, "user_id", ["ts", "event_id"], ["event_type", "props"])
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    log = log.withColumn("at", at).withColumn("is_anonymized", (F.col("user_id") == 4) & (F.col("at") == 10))
+    altered = F.when(((F.col("user_id") == 3) & (F.col("at") == 25)) | F.col("is_anonymized"), "altered").otherwise(F.col("event_type"))
+    return P.audit_verify(log.withColumn("event_type", altered).drop("at"), "user_id", ["ts", "event_id"], ["event_type", "props"])

@@ -1 +1,44 @@
-"""Queries."""
+"""Streaming flows, drained so that they end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..operators.materialize import scratch
+from ..registry import query
+from ..streaming import flows as S
+
+SUBSCRIBERS = [("billing", ["purchase", "signup"]), ("alerts", ["error"]), ("all", ["click", "view", "error", "signup", "purchase"])]
+
+
+@query("select event_id, user_id, event_type from events")
+def stream_usage_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    sink = scratch(spark)
+    stream = S.read(spark, sf, "events", "ts")
+    S.usage_ingest(stream.union(stream), sink, scratch(spark)).awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 4) as v from events group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 hour from events)")
+def stream_hourly_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """The hours that the watermark has passed once all input is read."""
+    return S.drain(S.hourly_usage(S.read(spark, sf, "events", "ts"))).withColumn("v", F.round("v", 4))
+
+
+@query("select 't' || (user_id % 5) as tenant_id, strftime(ts, '%Y-%m') as month, count(*) as n from events group by 1, 2")
+def stream_quota(spark: SparkSession, sf: str) -> DataFrame:
+    e = S.read(spark, sf, "events", "ts")
+    totals = e.groupBy(F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant_id"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return S.upsert_batches(totals, ["tenant_id", "month"])
+
+
+@query("select event_id, case when handled then 'delivered' when attempts + 1 >= 3 then 'failed' else 'pending' end as status, case when handled then attempts else attempts + 1 end as attempts from v_outbox")
+def outbox_step(spark: SparkSession, sf: str) -> DataFrame:
+    return S.outbox_step(fx.outbox(spark, sf)).select("event_id", "status", "attempts")
+
+
+@query("select event_id, subscriber from v_outbox join (select 'billing' as subscriber, ['purchase', 'signup'] as types union all select 'alerts', ['error'] union all select 'all', ['click', 'view', 'error', 'signup', 'purchase']) on list_contains(types, event_type)")
+def event_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    return S.fan_out(fx.outbox(spark, sf), spark.createDataFrame(SUBSCRIBERS, "subscriber string, event_types array<string>"))
