@@ -58,6 +58,15 @@ def test_chats_collapse(spark):
     assert chats.render(df.limit(0)).count() == 0
 
 
+def test_turns_without_an_id(spark):
+    """Each is a conversation of its own: equal ones are one, and those that begin or equal one with an id go."""
+    rows = [(None, k, "user", "again") for k in range(50)] + [(None, None, "user", "a"), (None, 1, "user", "b"), (None, 1, None, None), (None, 7, None, None), (1, 0, "user", "a"), (1, 1, "user", "z"), (2, 0, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id or 0, r.n_turns, r.chat) for r in chats.render(df).collect())
+    one = lambda x: f"<|im_start|>user\n{x}<|im_end|>\n"
+    assert got == [(0, 1, one("")), (0, 1, one("again")), (1, 2, one("a") + one("z")), (2, 1, one("b"))]
+
+
 ITEM = "A train leaves the old station with 120 passengers and after 3 hours Maria counts 45 kg of coal in the engine room of the long train"
 
 
