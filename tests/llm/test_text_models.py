@@ -35,6 +35,15 @@ def test_license_notice_needs_its_key_phrase(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_notices_do_not_crowd_each_other_out(spark):
+    text = {label: notice for label, notice, _ in licenses.TEMPLATES}
+    sets = [["mit", "bsd"], ["bsd", "mit", "gpl"], list(text)]
+    text["mit"] = next(t for label, t, _ in licenses.TEMPLATES if label == "mit" and t.startswith("Permission"))
+    rows = [(k, "\nand also\n".join(text[label] for label in ls)) for k, ls in enumerate(sets)] + [(k, "other words here") for k in range(10, 60)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(set(ls) <= got[k] for k, ls in enumerate(sets))
+
+
 def test_language_grams_do_not_depend_on_pieces():
     text = "ab c déf. " * 60000
     whole = language.grams(text, 64)

@@ -1,9 +1,9 @@
 """License scans through a positional index of rare licence words.
 
 Every template's words are posted as (word, template, position). The index is as large as the
-templates, whatever the corpus. For each file its licence words of highest inverse document
-frequency (counted over all files) are looked up; each occurrence votes for a template at a
-relative position (place in the file less place in the template); the template of an
+templates, whatever the corpus. For each template its words of highest inverse document
+frequency (counted over all files) are looked up in a file, so that one notice never crowds out
+another; each occurrence votes for its template at a relative position (place in the file less place in the template); the template of an
 alignment with enough of its rare words is reported once one of its key phrases stands in the
 file. The key phrases of the base labels are templates of their own: their rarest word is the
 anchor, and every place of it is intersected with the postings of the others.
@@ -86,7 +86,12 @@ def places(at: dict[bytes, list[int]], phrase: list[bytes], idf: dict[bytes, flo
     return [p - k for p in at[phrase[k]] if all(p + d in s for d, s in sets)]
 
 
-def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rare: float, lookups: int, coverage: float) -> tuple[list[int], list[str], list[str], float]:
+def rarest_words(index: Index, idf: dict[bytes, float], rare: float, lookups: int) -> list[frozenset[bytes]]:
+    """For each template its `lookups` rarest words."""
+    return [frozenset(sorted((w for w in set(ws) if idf[w] >= rare), key=lambda w: (-idf[w], w))[:lookups]) for _, ws, _ in index.templates]
+
+
+def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rare: float, rarest: list[frozenset[bytes]], coverage: float) -> tuple[list[int], list[str], list[str], float]:
     """Starts of base phrases, base labels, all labels, score."""
     present = index.vocabulary.intersection(words)
     if not any(idf[w] >= rare for w in present):
@@ -103,18 +108,18 @@ def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rare:
             starts += found
             base.add(label)
     labels, score = set(base), 0.5 * bool(base)
-    top = sorted((w for w in present if idf[w] >= rare and w in index.postings), key=lambda w: (-idf[w], w))[:lookups]
+    top = {w: {n for n, own in enumerate(rarest) if w in own} for w in present if w in index.postings}
     votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for w in top:
+    for w, voters in top.items():
         for n, k in index.postings[w]:
-            for p in at[w]:
-                votes[n, p - k].add(k)
+            if n in voters:
+                for p in at[w]:
+                    votes[n, p - k].add(k)
     best: dict[int, float] = {}
     for (n, _), ks in votes.items():
         ws = index.templates[n][1]
-        expected = sorted((idf[w] for w in set(ws) if idf[w] >= rare), reverse=True)[:lookups]
         weight = sum(idf[w] for w in {ws[k] for k in ks})
-        best[n] = max(best.get(n, 0.0), min(1.0, weight / max(sum(expected), 1e-9)))
+        best[n] = max(best.get(n, 0.0), min(1.0, weight / max(sum(idf[w] for w in rarest[n]), 1e-9)))
     for n, share in best.items():
         label, _, keys = index.templates[n]
         if share >= coverage and any(places(at, k, idf) for k in keys):
@@ -128,21 +133,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     A null or blank text has no words and gives 0, 0, null, null, '', '', 0.0. Ids may be null or
     repeat; an empty table gives an empty result; other columns are not read. rare_share: words
-    in more than this share of the rows cast no votes. lookups: rarest words looked up in a file;
-    they bound the templates' votes alone, never the base phrases, of which every place counts.
+    in more than this share of the rows cast no votes. lookups: rarest words of each
+    template looked up in a file; they bound its votes alone, never the base phrases, of which every place counts.
     """
     index = Index(templates, base)
     df = document_frequencies(docs, index, text_col)
     total = max(df.get(b"", 0), 1)
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in index.vocabulary}
     rare = math.log(1 / rare_share)
+    rarest = rarest_words(index, idf, rare, lookups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
                 ws = words_of(t)
-                starts, own, labels, score = scan_words(ws, index, idf, rare, lookups, coverage)
+                starts, own, labels, score = scan_words(ws, index, idf, rare, rarest, coverage)
                 out.append((len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(labels), score))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True))], names)
