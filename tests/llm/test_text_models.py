@@ -44,6 +44,14 @@ def test_license_notices_do_not_crowd_each_other_out(spark):
     assert all(set(ls) <= got[k] for k, ls in enumerate(sets))
 
 
+def test_license_notice_in_any_share_of_the_rows(spark):
+    for label, notice, _ in licenses.TEMPLATES:
+        if label in ("bsd", "isc", "mpl", "unlicense", "cc-by", "cc-by-sa", "cc-by-nc"):
+            rows = [(k, notice if k % 3 == 0 or label == "bsd" else "other words here") for k in range(30)]
+            got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+            assert {r.labels for r in got if rows[r.doc_id][1] == notice} == {label}
+
+
 def test_language_grams_do_not_depend_on_pieces():
     text = "ab c déf. " * 60000
     whole = language.grams(text, 64)

@@ -86,18 +86,18 @@ def places(at: dict[bytes, list[int]], phrase: list[bytes], idf: dict[bytes, flo
     return [p - k for p in at[phrase[k]] if all(p + d in s for d, s in sets)]
 
 
-def rarest_words(index: Index, idf: dict[bytes, float], rare: float, lookups: int) -> list[frozenset[bytes]]:
-    """For each template its `lookups` rarest words."""
-    return [frozenset(sorted((w for w in set(ws) if idf[w] >= rare), key=lambda w: (-idf[w], w))[:lookups]) for _, ws, _ in index.templates]
+def rarest_words(index: Index, idf: dict[bytes, float], lookups: int) -> list[frozenset[bytes]]:
+    """For each template its `lookups` rarest words, however common they are."""
+    return [frozenset(sorted(set(ws), key=lambda w: (-idf[w], w))[:lookups]) for _, ws, _ in index.templates]
 
 
-def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rare: float, rarest: list[frozenset[bytes]], coverage: float) -> tuple[list[int], list[str], list[str], float]:
+def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: list[frozenset[bytes]], coverage: float) -> tuple[list[int], list[str], list[str], float]:
     """Starts of base phrases, base labels, all labels, score."""
     present = index.vocabulary.intersection(words)
-    if not any(idf[w] >= rare for w in present):
-        # no rare licence word: base phrases may still stand there, if their words are common
-        if not any(all(w in present for w in p) for p, _ in index.base):
-            return [], [], [], 0.0
+    # a template counts only with one of its key phrases
+    open_ = {n for n, (_, _, keys) in enumerate(index.templates) if any(present.issuperset(k) for k in keys)}
+    if not open_ and not any(present.issuperset(p) for p, _ in index.base):
+        return [], [], [], 0.0
     at: dict[bytes, list[int]] = defaultdict(list)
     for k, w in enumerate(words):
         if w in present:
@@ -108,7 +108,7 @@ def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rare:
             starts += found
             base.add(label)
     labels, score = set(base), 0.5 * bool(base)
-    top = {w: {n for n, own in enumerate(rarest) if w in own} for w in present if w in index.postings}
+    top = {w: {n for n in open_ if w in rarest[n]} for w in present if w in index.postings}
     votes: dict[tuple[int, int], set[int]] = defaultdict(set)
     for w, voters in top.items():
         for n, k in index.postings[w]:
@@ -128,27 +128,26 @@ def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rare:
     return starts, sorted(base), sorted(labels), min(1.0, score)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, base: dict[str, str] = BASE, rare_share: float = 0.25, lookups: int = 24, coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, base: dict[str, str] = BASE, lookups: int = 24, coverage: float = 0.6) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
     A null or blank text has no words and gives 0, 0, null, null, '', '', 0.0. Ids may be null or
-    repeat; an empty table gives an empty result; other columns are not read. rare_share: words
-    in more than this share of the rows cast no votes. lookups: rarest words of each
-    template looked up in a file; they bound its votes alone, never the base phrases, of which every place counts.
+    repeat; an empty table gives an empty result; other columns are not read. lookups: rarest
+    words of each template looked up in a file, whatever share of the rows holds them; they bound its votes alone, never the base phrases, of which every place counts.
     """
     index = Index(templates, base)
     df = document_frequencies(docs, index, text_col)
     total = max(df.get(b"", 0), 1)
-    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in index.vocabulary}
-    rare = math.log(1 / rare_share)
-    rarest = rarest_words(index, idf, rare, lookups)
+    # above 0 even for a word of every row
+    idf = {w: 1 + math.log((1 + total) / (1 + df.get(w, 0))) for w in index.vocabulary}
+    rarest = rarest_words(index, idf, lookups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
                 ws = words_of(t)
-                starts, own, labels, score = scan_words(ws, index, idf, rare, rarest, coverage)
+                starts, own, labels, score = scan_words(ws, index, idf, rarest, coverage)
                 out.append((len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(labels), score))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True))], names)
