@@ -121,3 +121,13 @@ def test_closure_of_all_seeds_is_the_union(spark):
 def test_catalog_columns(spark):
     spark.range(1).createOrReplaceTempView("described")
     assert [r.column_name for r in quality.describe(spark, "described").collect()] == ["id"]
+
+
+def test_kpis_gather_no_array(spark):
+    values = {"a": [5.0], "b": [float(k * k % 97) for k in range(400)] + [1e9], "c": [2.0] * 50 + [None], "d": [None], None: [1.0, 3.0]}
+    m = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "kpi string, value double")
+    got = {r.kpi: (r.p0, r.p95, r.p100) for r in stats.floor_ranks(m, ["kpi"], "value", {"p0": 0.0, "p95": 0.95, "p100": 1.0}).collect()}
+    own = {k: sorted(v for v in vs if v is not None) for k, vs in values.items()}
+    assert got == {k: tuple(vs[min(int(len(vs) * p), len(vs) - 1)] for p in (0.0, 0.95, 1.0)) for k, vs in own.items() if vs}
+    t = spark.createDataFrame([("x", 10.0, 0.0, 1)], "kpi string, target double, warn double, lower_is_better int")
+    assert "collect_list" not in stats.kpi_report(m, t)._jdf.queryExecution().optimizedPlan().toString()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import floor_index
 from .select import latest, top_n
 
 
@@ -86,16 +85,44 @@ def latency_stats(df: DataFrame, key: str, value: str, order: list[Column], n: i
     return g.select(key, "n", "mean", *[F.round(F.col("p")[k], 6).alias(name) for k, name in enumerate(("p50", "p95", "p99"))], "least", "most")
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys, null equal to null."""
+    other = b.select(*[F.col(k).alias(f"right {k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"right {k}"))
+    return a.join(other, on, "left").drop(*[f"right {k}" for k in keys])
+
+
+def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], parts: int = 1024) -> DataFrame:
+    """keys and for each name of shares the value at rank int(n * share), at most the last, of the key's sorted values; nulls don't count.
+
+    Equal values are counted first. Running counts go over `parts` ranges of a key's values, so
+    that no group is one array and a hot key is sorted in many tasks.
+    """
+    v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ends = v.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
+    at = F.try_divide((F.col("v") - F.col("low")).cast("double"), (F.col("high") - F.col("low")).cast("double")) * parts
+    ranged = _same(v, ends, keys).withColumn("part", F.when(F.col("high") == F.col("low"), 0).when(F.isnan(at), parts).otherwise(F.floor(at)).cast("long")).drop("low", "high")
+    sizes = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("size"))
+    before = sizes.select(*keys, "part", (F.sum("size").over(Window.partitionBy(*keys).orderBy("part")) - F.col("size")).alias("before"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v"))
+    run = _same(ranged, before, [*keys, "part"]).withColumn("upto", upto)
+    rank = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    return run.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(x)) & (F.col("upto") - F.col("c") <= rank(x)), F.col("v"))).alias(name) for name, x in shares.items()])
+
+
 def rollup(telemetry: DataFrame, unit: str) -> DataFrame:
     """Counts, sums and floor-index percentiles of each model and hour or day."""
-    g = telemetry.groupBy("model", F.date_trunc(unit, "captured_at").alias("bucket")).agg(
-        F.count("*").alias("n"), F.round(F.avg("runtime_seconds"), 6).alias("avg_runtime"), F.sum("shuffle_bytes").alias("shuffle_bytes"), F.sum("input_rows").alias("input_rows"), F.sum("output_rows").alias("output_rows"), F.round(F.avg("partition_count"), 6).alias("avg_partitions"), F.collect_list("runtime_seconds").alias("r"))
-    return g.select("model", "bucket", "n", "avg_runtime", "shuffle_bytes", "input_rows", "output_rows", "avg_partitions", floor_index(F.col("r"), 0.5).alias("p50"), floor_index(F.col("r"), 0.95).alias("p95"))
+    t = telemetry.withColumn("bucket", F.date_trunc(unit, "captured_at"))
+    g = t.groupBy("model", "bucket").agg(
+        F.count("*").alias("n"), F.round(F.avg("runtime_seconds"), 6).alias("avg_runtime"), F.sum("shuffle_bytes").alias("shuffle_bytes"), F.sum("input_rows").alias("input_rows"), F.sum("output_rows").alias("output_rows"), F.round(F.avg("partition_count"), 6).alias("avg_partitions"))
+    return _same(g, floor_ranks(t, ["model", "bucket"], "runtime_seconds", {"p50": 0.5, "p95": 0.95}), ["model", "bucket"]).select("model", "bucket", "n", "avg_runtime", "shuffle_bytes", "input_rows", "output_rows", "avg_partitions", "p50", "p95")
 
 
 def kpi_report(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Each KPI's value (floor-index P95 where lower is better, else the mean) and status; a KPI without metrics is insufficient."""
-    g = metrics.groupBy("kpi").agg(floor_index(F.collect_list("value"), 0.95).alias("p95"), F.avg("value").alias("mean"))
+    g = _same(metrics.groupBy("kpi").agg(F.avg("value").alias("mean")), floor_ranks(metrics, ["kpi"], "value", {"p95": 0.95}), ["kpi"])
     low = F.col("lower_is_better") == 1
     j = thresholds.join(g, "kpi", "left").withColumn("value", F.when(low, F.col("p95")).otherwise(F.col("mean")))
     ok = lambda c: F.when(low, F.col("value") <= F.col(c)).otherwise(F.col("value") >= F.col(c))
