@@ -8,15 +8,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# slots of a bit table: 2^23 bits are 131,072 rows of a broadcast
+SLOTS = 1 << 23
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (tests) a temporary one is set."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where it is unset only a local master may go on, in a temporary folder: driver and executors
+    are one process there. Elsewhere that would lose files, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,6 +51,20 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def marks(of: DataFrame, name: str, slots: int = SLOTS) -> DataFrame:
+    """(word, bits): one bit for each slot that a long of column `name` falls in; slots / 64 rows at most, whatever the input."""
+    slot = of.select(F.pmod(name, F.lit(slots)).alias("slot"))
+    return slot.groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 64) as int)))").alias("bits"))
+
+
+def by_mark(df: DataFrame, name: str, marked: DataFrame, on: bool, slots: int = SLOTS) -> DataFrame:
+    """Rows of df whose long `name` is marked (on) or isn't. marked has a fixed size and is broadcast; null counts as not marked."""
+    slot = f"pmod(`{name}`, {slots}L)"
+    bit = F.expr(f"cast({slot} div 64 as int) = `word of marks` and (shiftrightunsigned(`bits of marks`, cast(pmod({slot}, 64) as int)) & 1) = 1")
+    small = F.broadcast(marked.select(F.col("word").alias("word of marks"), F.col("bits").alias("bits of marks")))
+    return df.join(small, bit, "left_semi" if on else "left_anti")
+
+
 def fold(id_col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as fold 0 of the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod

@@ -77,7 +77,7 @@ ORACLES["op5_chat_format"] = chats.RENDER_SQL
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and a digest of what is left of each document."""
-    out = linededup.dedup(table(spark, sf_dir, "documents"), counts=True, grams=True)
+    out = linededup.dedup(table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
