@@ -81,7 +81,7 @@ def llm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey between 2 and 300").select(F.col("p_partkey").alias("dst"))
+    p = table(spark, sf, "part").where("p_partkey >= 2").select(F.col("p_partkey").alias("dst"))
     two = p.select(F.floor(F.col("dst") / 2).alias("src"), "dst")
     three = p.where("dst >= 3 and dst % 5 = 0").select(F.floor(F.col("dst") / 3).alias("src"), "dst")
     return two.union(three).distinct()
@@ -101,7 +101,7 @@ def watermarks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession, sf: str) -> DataFrame:
-    o = orders(spark, sf).where("o_custkey < 20").withColumn("d", F.to_date("o_orderdate"))
+    o = orders(spark, sf).withColumn("d", F.to_date("o_orderdate"))
     c = o.groupBy(F.col("o_custkey").alias("model")).agg(F.min("d").alias("overall_start"), F.max("d").alias("overall_end"))
     status = F.element_at(F.array(F.lit("COMPLETED"), F.lit("FAILED"), F.lit("RUNNING")), (F.col("model") % 3 + 1).cast("int"))
     first = F.least(F.date_add("overall_start", 29), F.col("overall_end"))
@@ -140,8 +140,13 @@ def outbox(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("event_id", "event_type", F.lit("pending").alias("status"), (F.col("event_id") % 4).alias("attempts"), (F.col("event_id") % 5 != 0).alias("handled"), F.col("ts").alias("created_at"))
 
 
-SCHEMA_EXPECTED = [("orders", "o_orderkey", "LONG", 0), ("orders", "o_custkey", "BIGINT", 0), ("orders", "o_orderstatus", "VARCHAR", 1), ("orders", "o_clerk", "STRING", 1), ("orders", "o_totalprice", "DECIMAL(14,4)", 0), ("customer", "C_CUSTKEY", "BIGINT", 0), ("customer", "c_name", "TEXT", 1), ("customer", "c_acctbal", "DOUBLE PRECISION", 1)]
-SCHEMA_ACTUAL = [("orders", "o_orderkey", "BIGINT", 1), ("orders", "o_custkey", "BIGINT", 0), ("orders", "o_orderstatus", "STRING", 1), ("orders", "o_totalprice", "DOUBLE", 0), ("orders", "o_orderpriority", "STRING", 1), ("customer", "c_custkey", "BIGINT", 0), ("customer", "c_name", "STRING", 1), ("customer", "c_acctbal", "DOUBLE", 1)]
+# contracts of four tables: one column gone, one of another type, some under other names of their type, one that must not be null and is
+SCHEMA_EXPECTED = [
+    ("orders", "o_orderkey", "LONG", 0), ("orders", "o_custkey", "BIGINT", 0), ("orders", "o_orderstatus", "VARCHAR", 1), ("orders", "o_clerk", "STRING", 1), ("orders", "o_totalprice", "DECIMAL(14,4)", 0),
+    ("customer", "C_CUSTKEY", "BIGINT", 0), ("customer", "c_name", "TEXT", 1), ("customer", "c_acctbal", "DOUBLE PRECISION", 1), ("amounts", "event_id", "LONG", 0), ("amounts", "user_id", "BIGINT", 0), ("amounts", "event_type", "STRING", 0), ("amounts", "amount", "DOUBLE", 0),
+    ("nation", "n_nationkey", "INTEGER", 0), ("nation", "n_name", "CHAR", 0), ("nation", "n_regionkey", "INT", 1),
+]
+MEASURED = {"orders": ("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "orders"), "customer": ("c_custkey c_name c_nationkey c_acctbal c_mktsegment", "customer"), "nation": ("n_nationkey n_name n_regionkey", "nation"), "amounts": ("event_id user_id event_type amount", "(select event_id, user_id, event_type, case when event_id % 7 <> 0 then value end as amount from events)")}
 
 VIEWS: dict[str, str] = {
     "v_tenants": "select tenant_id, tier, plan_quota::int as plan_quota, daily_budget::double as daily_budget, monthly_budget::double as monthly_budget from " + values(TENANTS, "tenant_id, tier, plan_quota, daily_budget, monthly_budget"),
@@ -154,11 +159,11 @@ VIEWS: dict[str, str] = {
     "v_usage": "select event_id, 't' || (user_id % 5) as tenant_id, user_id, case event_type " + " ".join(f"when '{a}' then '{b}'" for a, b in USAGE_TYPES.items()) + " end as event_type, 1 + event_id % 3 as quantity, ts as created_at from events",
     "v_llm": """select *, round((input_tokens * 3 + output_tokens * 15) / 1e6, 6) as cost_usd from (select conv_id * 1000 + turn as call_id, 't' || (conv_id % 5) as tenant_id, role as call_type, length(text) as input_tokens, length(text) // 3 as output_tokens,
       (conv_id + turn) % 11 <> 0 as success, timestamp '2024-01-01' + to_hours(((conv_id * 7 + turn) % 720)::int) as created_at, conv_id % 900 + 50 as latency_ms from conversations)""",
-    "v_edges": "select distinct * from (select p_partkey // 2 as src, p_partkey as dst from part where p_partkey between 2 and 300 union all select p_partkey // 3, p_partkey from part where p_partkey between 3 and 300 and p_partkey % 5 = 0)",
+    "v_edges": "select distinct * from (select p_partkey // 2 as src, p_partkey as dst from part where p_partkey >= 2 union all select p_partkey // 3, p_partkey from part where p_partkey >= 3 and p_partkey % 5 = 0)",
     "v_lineage": "select dst as \"table\", 'c' || (dst % 3) as \"column\", src as source_table, 'c' || (src % 3) as source_column, list_extract([" + ", ".join(f"'{t}'" for t in TRANSFORMS) + "], (dst % 4 + 1)::int) as transform from v_edges",
     "v_watermarks": "select o_custkey as model, year(o_orderdate) as year, min(o_orderdate::date) as partition_start, max(o_orderdate::date) as partition_end, count(*) as row_count, max(o_orderdate::date) as last_updated from orders group by 1, 2",
     "v_checkpoints": """select *, case status when 'FAILED' then least(overall_start + 29, overall_end) when 'COMPLETED' then overall_end end as completed_through from
-      (select o_custkey as model, min(o_orderdate::date) as overall_start, max(o_orderdate::date) as overall_end, list_extract(['COMPLETED', 'FAILED', 'RUNNING'], (o_custkey % 3 + 1)::int) as status from orders where o_custkey < 20 group by o_custkey)""",
+      (select o_custkey as model, min(o_orderdate::date) as overall_start, max(o_orderdate::date) as overall_end, list_extract(['COMPLETED', 'FAILED', 'RUNNING'], (o_custkey % 3 + 1)::int) as status from orders group by o_custkey)""",
     "v_base": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey % 10 <> 0",
     "v_target": "select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 7 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders where o_orderkey % 10 <> 1",
     "v_observed": "select run_id, case when run_id % 13 = 0 then case when status = 'SUCCESS' then 'FAIL' else 'SUCCESS' end else status end as observed from v_runs where run_id % 29 <> 0",
@@ -167,7 +172,7 @@ VIEWS: dict[str, str] = {
     "v_predictions": "select doc_id, quality as actual, (n_chars >= 600)::int as predicted, least(n_chars, 4000) / 4000 as confidence, lang as category from labels join documents using (doc_id)",
     "v_outbox": "select event_id, event_type, 'pending' as status, event_id % 4 as attempts, event_id % 5 <> 0 as handled, ts as created_at from events",
     "v_expected": "select * from " + values(SCHEMA_EXPECTED, "table_name, column_name, data_type, nullable"),
-    "v_actual": "select * from " + values(SCHEMA_ACTUAL, "table_name, column_name, data_type, nullable"),
+    "v_actual": " union all ".join(f"select '{t}' as table_name, '{c}' as column_name, any_value(typeof({c})) as data_type, (count(*) filter ({c} is null) > 0)::int as nullable from {src}" for t, (cols, src) in MEASURED.items() for c in cols.split()),
 }
 
 

@@ -8,9 +8,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .select import latest
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -37,9 +39,11 @@ class TableSpec:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one for a local master; elsewhere executors couldn't share it, so that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,8 +69,8 @@ def append(df: DataFrame, target: str) -> None:
 
 
 def overwrite_partitions(df: DataFrame, target: str, partition_by: list[str]) -> None:
-    """Replaces the partitions that df has rows of, and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(target)
+    """Replaces the partitions that df has rows of, and no others. Rows are brought together by partition first, large ones over several tasks, so that a partition has few files."""
+    df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(target)
 
 
 def incremental(body: Callable[[str, str], DataFrame], start: str, end: str, target: str, partition_by: list[str]) -> None:
@@ -74,12 +78,17 @@ def incremental(body: Callable[[str, str], DataFrame], start: str, end: str, tar
     overwrite_partitions(body(start, str(date.fromisoformat(end) + timedelta(days=1))), target, partition_by)
 
 
-def merge_by_key(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str] | None = None) -> DataFrame:
-    """Target with source's rows: new keys are inserted, known ones take update_cols (all by default) from source. Source has one row a key."""
+def merge_by_key(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str] | None = None, order_by: list[Column] | None = None) -> DataFrame:
+    """Target with source's rows: new keys are inserted, known ones take update_cols (all by default) from source; a null key equals a null key.
+
+    Of several source rows of a key the first in order_by counts (newest first, say), by default
+    that of the greatest other columns. Target has one row a key.
+    """
     rest = [c for c in target.columns if c not in keys]
+    source = latest(source, keys, order_by or [F.col(c).desc() for c in rest] or [F.col(c) for c in keys])
     take = set(rest if update_cols is None else update_cols)
     t, s = target.withColumn("in_target", F.lit(True)).alias("t"), source.withColumn("in_source", F.lit(True)).alias("s")
-    j = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full")
+    j = t.join(s, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "full")
     pick = lambda c: F.when(F.col("in_target").isNull() | (F.col("in_source").isNotNull() & F.lit(c in take)), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
     return j.select(*[F.coalesce(f"t.{k}", f"s.{k}").alias(k) for k in keys], *map(pick, rest))
 

@@ -89,6 +89,13 @@ def schema_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable int, ordinal int")
 
 
+def measured_schema(df: DataFrame, name: str) -> DataFrame:
+    """As schema_table(), with nullable told from the rows: whether a column holds a null, counted in one pass."""
+    nulls = df.agg(*[F.count_if(F.col(f"`{f.name}`").isNull()).alias(str(k)) for k, f in enumerate(df.schema.fields)])
+    rows = [F.struct(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString().upper()).alias("data_type"), (F.col(f"`{k}`") > 0).cast("int").alias("nullable"), F.lit(k).alias("ordinal")) for k, f in enumerate(df.schema.fields)]
+    return nulls.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def describe(spark: SparkSession, table: str) -> DataFrame:
     rows = [(table, c.name, c.dataType.upper(), int(c.nullable), k) for k, c in enumerate(spark.catalog.listColumns(table))]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable int, ordinal int")

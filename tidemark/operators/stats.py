@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +11,24 @@ from .select import latest, top_n
 
 
 def cost_anomaly(hist: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
-    """Latest value of each key against its history (the latest included): z score, quartile fences, midrank percentile, type and severity; keys of 3 or more points."""
+    """Latest value of each key against its history (the latest included): z score, quartile fences, midrank percentile, type and severity; keys of 3 or more points.
+
+    The gravest come first, then the largest scores.
+    """
     last = latest(hist, [key], order).select(key, F.col(value).alias("latest"))
     x = F.col(value)
-    g = hist.groupBy(key).agg(F.count("*").alias("n"), F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).where("n >= 3").join(last, key)
+    g = hist.groupBy(key).agg(F.count("*").alias("n"), F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd")).where("n >= 3").join(last, key)
+    g = g.join(quantiles(hist, [key], value, {"q1": 0.25, "q3": 0.75}), key)
     rank = hist.join(last, key).groupBy(key).agg(F.count_if(x < F.col("latest")).alias("below"), F.count_if(x == F.col("latest")).alias("equal"))
     z = F.when(F.col("sd") > 0, (F.col("latest") - F.col("mu")) / F.col("sd")).otherwise(0.0)
-    q1, q3 = F.col("q")[0], F.col("q")[1]
+    q1, q3 = F.col("q1"), F.col("q3")
     out = g.join(rank, key).withColumn("z", z).withColumn("outside", (F.col("latest") < q1 - 1.5 * (q3 - q1)) | (F.col("latest") > q3 + 1.5 * (q3 - q1)))
     odd = (F.abs("z") >= 2) | F.col("outside")
+    grave = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "major", 1).when(F.col("severity") == "minor", 2).otherwise(3)
     severity = F.when(F.abs("z") >= 4, "critical").when(F.abs("z") >= 3, "major").otherwise("minor")
     return out.select(
         key, "n", F.round("latest", 4).alias("latest"), F.round("z", 4).alias("z"), F.round((F.col("below") + 0.5 * F.col("equal")) / F.col("n") * 100, 2).alias("percentile"), odd.alias("is_anomaly"),
-        F.when(odd, F.when(F.col("z") > 0, "spike").otherwise("drop")).alias("kind"), F.when(odd, severity).alias("severity"))
+        F.when(odd, F.when(F.col("z") > 0, "spike").otherwise("drop")).alias("kind"), F.when(odd, severity).alias("severity")).orderBy(grave, F.abs("z").desc(), key)
 
 
 def ewma_forecast(hist: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.3, runs_per_day: float = 1.0, most: int = 500) -> DataFrame:
@@ -94,8 +101,17 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(other, on, "left").drop(*[f"right {k}" for k in keys])
 
 
-def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], parts: int = 1024) -> DataFrame:
-    """keys and for each name of shares the value at rank int(n * share), at most the last, of the key's sorted values; nulls don't count.
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and for each name of shares the quantile, linear between the two values next to it; exact, and no group is one array."""
+    ranks = {f"{side} of {name}": (lambda n, x=x, f=f: f((n - 1) * F.lit(x))) for name, x in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("count of values"))
+    at = lambda x: (F.col("count of values") - 1) * F.lit(x)
+    low, high = (lambda name: F.col(f"`low of {name}`")), (lambda name: F.col(f"`high of {name}`"))
+    return _same(n, floor_ranks(df, keys, value, ranks), keys).select(*keys, *[(low(k) + (high(k) - low(k)) * (at(x) - F.floor(at(x)))).alias(k) for k, x in shares.items()])
+
+
+def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float | Callable[[Column], Column]], parts: int = 1024) -> DataFrame:
+    """keys and for each name of shares the value at rank int(n * share), at most the last, of the key's sorted values; nulls don't count. A share may be a function from n to the rank.
 
     Equal values are counted first. Running counts go over `parts` ranges of a key's values, so
     that no group is one array and a hot key is sorted in many tasks.
@@ -108,7 +124,7 @@ def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     before = sizes.select(*keys, "part", (F.sum("size").over(Window.partitionBy(*keys).orderBy("part")) - F.col("size")).alias("before"))
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v"))
     run = _same(ranged, before, [*keys, "part"]).withColumn("upto", upto)
-    rank = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    rank = lambda share: F.least(share(F.col("n")) if callable(share) else F.floor(F.col("n") * share), F.col("n") - 1)
     return run.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(x)) & (F.col("upto") - F.col("c") <= rank(x)), F.col("v"))).alias(name) for name, x in shares.items()])
 
 
@@ -121,12 +137,19 @@ def rollup(telemetry: DataFrame, unit: str) -> DataFrame:
 
 
 def kpi_report(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Each KPI's value (floor-index P95 where lower is better, else the mean) and status; a KPI without metrics is insufficient."""
-    g = _same(metrics.groupBy("kpi").agg(F.avg("value").alias("mean")), floor_ranks(metrics, ["kpi"], "value", {"p95": 0.95}), ["kpi"])
+    """Each KPI's value (floor-index P95 where lower is better, else the mean), status and number of values; a KPI without metrics is insufficient."""
+    g = _same(metrics.groupBy("kpi").agg(F.avg("value").alias("mean"), F.count("value").alias("sample_size")), floor_ranks(metrics, ["kpi"], "value", {"p95": 0.95}), ["kpi"])
     low = F.col("lower_is_better") == 1
     j = thresholds.join(g, "kpi", "left").withColumn("value", F.when(low, F.col("p95")).otherwise(F.col("mean")))
     ok = lambda c: F.when(low, F.col("value") <= F.col(c)).otherwise(F.col("value") >= F.col(c))
-    return j.select("kpi", F.round("value", 6).alias("value"), F.when(F.col("value").isNull(), "insufficient").when(ok("target"), "passing").when(ok("warn"), "warning").otherwise("failing").alias("status"))
+    return j.select("kpi", F.round("value", 6).alias("value"), F.when(F.col("value").isNull(), "insufficient").when(ok("target"), "passing").when(ok("warn"), "warning").otherwise("failing").alias("status"), F.coalesce("sample_size", F.lit(0)).alias("sample_size"))
+
+
+def kpi_health(report: DataFrame) -> DataFrame:
+    """One row: KPIs of each status, and healthy without failing ones, degraded with one or two, else unhealthy."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    health = F.when(n("failing") == 0, "healthy").when(n("failing") <= 2, "degraded").otherwise("unhealthy")
+    return report.agg(F.count("*").alias("total"), *[n(s).alias(s) for s in ("passing", "warning", "failing", "insufficient")], health.alias("health"))
 
 
 def psi(df: DataFrame, key: str, value: str, order: list[str], window: int = 500, bins: int = 10) -> DataFrame:
@@ -134,11 +157,12 @@ def psi(df: DataFrame, key: str, value: str, order: list[str], window: int = 500
 
     Values outside the edges fall in no bin but count in n; empty bins count as 1e-6.
     """
-    up, down = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    d = df.select(key, F.col(value).alias("v"), F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b"), F.count("*").over(Window.partitionBy(key)).alias("total")).where(f"total >= 100 and (a <= {window} or b <= {window})")
-    first = d.where(f"a <= {window}")
+    enough = df.groupBy(key).agg(F.count("*").alias("total")).where("total >= 100").select(key)
+    d = df.select(key, F.col(value).alias("v"), *[F.col(c).alias(f"order {c}") for c in order])
+    end = lambda by: top_n(d, [key], by, window).join(enough, key, "left_semi").select(key, "v")
+    first, last = end([F.col(f"order {c}") for c in order]), end([F.col(f"order {c}").desc() for c in order])
     cuts = first.groupBy(key).agg(F.percentile("v", F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("e"), F.count("*").alias("na")).withColumn("e", F.transform("e", lambda x, i: F.when(i == 0, x - 1e-8).when(i == bins, x + 1e-8).otherwise(x)))
-    sides = first.select(key, "v", F.lit("a").alias("side")).union(d.where(f"b <= {window}").select(key, "v", F.lit("b").alias("side"))).join(cuts, key)
+    sides = first.select(key, "v", F.lit("a").alias("side")).union(last.select(key, "v", F.lit("b").alias("side"))).join(cuts, key)
     at = F.size(F.filter("e", lambda x: x <= F.col("v")))
     inside = sides.withColumn("bin", F.when(F.col("v") == F.element_at("e", -1), bins).otherwise(at))
     per = inside.groupBy(key, "bin").agg(F.count_if(F.col("side") == "a").alias("ca"), F.count_if(F.col("side") == "b").alias("cb"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -17,7 +17,7 @@ def _seeds(spark: SparkSession, *nodes: int) -> DataFrame:
 
 REACH = "with recursive r(seed, node, depth) as (select s, dst, 1 from {seeds} join v_edges on src = s union select seed, dst, depth + 1 from r join v_edges on src = node), c as (select seed, node, min(depth) as depth from r group by 1, 2) "
 SEED = lambda *n: "(select unnest([" + ", ".join(map(str, n)) + "]) as s)"
-ALL = "(select distinct p_partkey as s from part where p_partkey between 1 and 300)"
+ALL = "(select distinct p_partkey as s from part)"
 
 
 @query(REACH.format(seeds=SEED(5, 7)) + "select * from c")
@@ -72,10 +72,10 @@ def lineage_trace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "part").where("p_partkey between 1 and 300").select(F.col("p_partkey").alias("node"), ((F.col("p_size") % 10) / 10).alias("p"))
+    return fx.table(spark, sf, "part").select(F.col("p_partkey").alias("node"), ((F.col("p_size") % 10) / 10).alias("p"))
 
 
-@query(REACH.format(seeds=ALL) + """, p as (select p_partkey as node, (p_size % 10) / 10 as p from part where p_partkey between 1 and 300), u as (select c.node, max(p * pow(0.8::double, depth)) as ur, min(p) as weakest from c join p on p.node = seed group by 1), d as (select seed as node, count(*) as dn from c group by 1),
+@query(REACH.format(seeds=ALL) + """, p as (select p_partkey as node, (p_size % 10) / 10 as p from part), u as (select c.node, max(p * pow(0.8::double, depth)) as ur, min(p) as weakest from c join p on p.node = seed group by 1), d as (select seed as node, count(*) as dn from c group by 1),
   j as (select p.node, p, coalesce(ur, 0) as ur, weakest, least(1, coalesce(dn, 0) * p / (select count(*) from p)) as cascade from p left join u using (node) left join d using (node)) select node, round(ur, 6) as upstream_risk, round(cascade, 6) as cascade, round(least(10 * (0.4::double * p + 0.3::double * least(ur, 1) + 0.3::double * cascade), 10), 2) as score, p > 0.3 and coalesce(weakest, 1) > 0.3 as critical from j""")
 def fragility(spark: SparkSession, sf: str) -> DataFrame:
     return G.fragility(fx.edges(spark, sf), _probabilities(spark, sf))
@@ -103,32 +103,55 @@ def risk_score(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(p, "node").withColumn("s", F.least(F.lit(10.0), raw)).select("node", F.round("s", 2).alias("score"), (F.col("s") >= 3).alias("needs_approval"), (F.col("s") >= 7).alias("critical"))
 
 
-def _sql_scrub(profile: str) -> str:
-    out = "text"
-    for pattern, to in P.PROFILES[profile]:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace(chr(39), chr(39) * 2).replace('$1', chr(92) + '1')}', 'g')"
-    return out
-
-
-@query(f"select doc_id, {_sql_scrub('telemetry')} as text from documents")
+# the same rules as RE2 has them, written out for DuckDB: it has no look-ahead, so values that are scrubbed already are set apart by a mark before the last rule
+TELEMETRY_SQL = r"""replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
+  '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b', '[REDACTED_EMAIL]', 'g'),
+  '\b(?:\+?1[-.\s]?)?\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}\b', '[REDACTED_PHONE]', 'g'),
+  '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '[REDACTED_SSN]', 'g'),
+  '\b(?:4\d{{3}}|5[1-5]\d{{2}}|3[47]\d{{2}}|6(?:011|5\d{{2}}))[-\s]?\d{{4}}[-\s]?\d{{4}}[-\s]?\d{{1,4}}\b', '[REDACTED_CC]', 'g'),
+  '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b', '[REDACTED_IP]', 'g'),
+  '\b(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}\b', '[REDACTED_IP]', 'g'),
+  '(?i)\bdapi[a-f0-9]{{32}}\b', '[REDACTED_TOKEN]', 'g'),
+  '(?i)\b(password|secret|token|api_key|apikey)(\s*[=:]\s*\[REDACTED)', '\1' || chr(1) || '\2', 'g'),
+  '(?i)\b(?:password|secret|token|api_key|apikey)\s*[=:]\s*\S+', '[REDACTED_SECRET]', 'g'), chr(1), '')"""
+PROMPT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
+  '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b', '<EMAIL>', 'g'), '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '<SSN>', 'g'), '\b(?:\d[ -]*?){{13,19}}\b', '<CC>', 'g'),
+  '\b(?:\+?1[-.\s]?)?\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}\b', '<PHONE>', 'g'), '(?i)\bdapi[a-f0-9]{{32}}\b', '<TOKEN>', 'g'),
+  '(?i)\b(?:password|secret|token|api_key|apikey|api[-_]?secret)\s*[=:]\s*\S+', '<SECRET>', 'g')"""
+LITERALS_SQL = r"""regexp_replace(regexp_replace({c}, '''[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}''', '''[REDACTED_EMAIL]''', 'g'), '(?i)(?:first_name|last_name|full_name|username)\s*=\s*''[^'']+''', '[REDACTED_NAME_FILTER]', 'g')"""
+NAMED = "(select p_partkey, 'select * from t where full_name = ''' || p_name || ''' and mail = ''a' || p_partkey || '@x.org'' and id = ' || (1000000 + p_partkey) || ' and note = ''it''''s'' and ip <> 10.0.0.' || (p_partkey % 256) as text from part)"
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = F.concat(F.lit("select * from t where full_name = '"), "p_name", F.lit("' and mail = 'a"), k.cast("string"), F.lit("@x.org' and id = "), (k + 1000000).cast("string"), F.lit(" and note = 'it''s' and ip <> 10.0.0."), (k % 256).cast("string"))
+    return fx.table(spark, sf, "part").select("p_partkey", s.alias("text"))
+
+
+@query(f"select doc_id, {TELEMETRY_SQL.format(c='text')} as text from documents")
 def pii_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return P.scrub(fx.table(spark, sf, "documents").select("doc_id", "text"), ["text"])
 
 
-@query(f"select doc_id, {_sql_scrub('prompt')} as text from documents")
+@query(f"select doc_id, {PROMPT_SQL.format(c='text')} as text from documents")
 def pii_scrub_llm(spark: SparkSession, sf: str) -> DataFrame:
     return P.scrub(fx.table(spark, sf, "documents").select("doc_id", "text"), ["text"], "prompt")
 
 
-@query("select doc_id, " + " or ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p, _ in P.TELEMETRY) + " as has_pii from documents")
+@query(r"""select doc_id, regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') or regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') or regexp_matches(text, '\b(?:\d[ -]*?){13,19}\b') or regexp_matches(text, '\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b')
+  or regexp_matches(text, '(?i)\bdapi[a-f0-9]{32}\b') or regexp_matches(text, '(?i)\b(?:password|secret|token|api_key|apikey|api[-_]?secret)\s*[=:]\s*\S+') or regexp_matches(text, '''(?:[^'']|'''')*''') as has_pii from documents""")
 def pii_flag(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "documents").select("doc_id", P.contains_pii(F.col("text")).alias("has_pii"))
 
 
-@query(f"select p_partkey, {_sql_scrub('sql')} as text from (select p_partkey, 'select * from t where name = ''' || p_name || ''' and mail = ''a' || p_partkey || '@x.org''' as text from part)")
+@query(f"select p_partkey, {TELEMETRY_SQL.format(c=LITERALS_SQL.format(c='text'))} as text from {NAMED}")
 def sql_literal_scrub(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.concat(F.lit("select * from t where name = '"), "p_name", F.lit("' and mail = 'a"), F.col("p_partkey").cast("string"), F.lit("@x.org'"))
-    return P.scrub(fx.table(spark, sf, "part").select("p_partkey", s.alias("text")), ["text"], "sql")
+    return P.scrub(_named(spark, sf), ["text"], "sql")
+
+
+@query("select p_partkey, " + PROMPT_SQL.format(c=r"""regexp_replace(regexp_replace(text, '''(?:[^'']|'''')*''', '<LITERAL>', 'g'), '\b\d{7,}\b', '<ID>', 'g')""") + f" as text from {NAMED}")
+def sql_prompt_scrub(spark: SparkSession, sf: str) -> DataFrame:
+    return P.scrub(_named(spark, sf), ["text"], "prompt_sql")
 
 
 @query("select substr(sha256('salt' || user_id), 1, 16) as user_id, count(*) as n from events group by 1")
@@ -147,25 +170,28 @@ def retention_purge(spark: SparkSession, sf: str) -> DataFrame:
     return P.purge(fx.events(spark, sf).select("event_id", "ts"), "ts", 10, fx.NOW)
 
 
+@query("""select * from (select 'telemetry' as "table", count(*) filter (captured_at >= timestamp '2024-01-31' - interval 15 day) as kept, count(*) filter (captured_at < timestamp '2024-01-31' - interval 15 day) as purged from v_telemetry
+  union all select 'audit', count(*) filter (ts >= timestamp '2024-01-31' - interval 10 day), count(*) filter (ts < timestamp '2024-01-31' - interval 10 day) from events
+  union all select 'outbox', count(*) filter (created_at >= timestamp '2024-01-31' - interval 24 hour), count(*) filter (created_at < timestamp '2024-01-31' - interval 24 hour) from v_outbox)""")
+def retention_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return P.purge_counts({"telemetry": (fx.telemetry(spark, sf), "captured_at", "15 days"), "audit": (fx.events(spark, sf), "ts", "10 days"), "outbox": (fx.outbox(spark, sf), "created_at", "24 hours")}, fx.NOW)
+
+
 @query("select event_id, case when user_id = 3 then '[REDACTED]' else user_id::varchar end as user_id, case when user_id <> 3 then props end as props, user_id = 3 as is_anonymized from events")
 def gdpr_erase(spark: SparkSession, sf: str) -> DataFrame:
     return P.erase(fx.events(spark, sf).select("event_id", "user_id", "props"), "user_id", 3, "props")
 
 
-@query("select event_id, sha256(event_id || '|' || user_id || '|' || event_type || '|' || props) as hash from events")
+@query("select event_id, sha256(event_id || '|' || user_id || '|' || event_type || '|' || replace(props, ' ', '')) as hash from events")
 def audit_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.events(spark, sf).select("event_id", P.audit_hash(["event_id", "user_id", "event_type", "props"]).alias("hash"))
+    e = fx.events(spark, sf).withColumn("metadata", P.sorted_json(F.col("props")))
+    return e.select("event_id", P.audit_hash(["event_id", "user_id", "event_type", "metadata"]).alias("hash"))
 
 
-@query("select user_id, user_id <> 3 as valid, case when user_id = 3 then 24 else count(*) end as checked from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events where user_id < 10) where rn <= 50 group by 1")
+@query("select user_id, user_id <> 3 or count(*) < 25 as valid, case when user_id = 3 then least(24, count(*)) else count(*) end as checked from events group by 1")
 def audit_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains of 50 events of ten users; user 3's 25th row was altered, user 4's 10th anonymised."""
-    from ..operators.select import top_n
-
-    e = top_n(fx.events(spark, sf).where("user_id < 10"), ["user_id"], [F.col("ts"), F.col("event_id")], 50)
-    log = P.audit_chain(e, "user_id", ["ts", "event_id"], ["event_type", "props"])
-    from pyspark.sql import Window
-
+    """Chains of all events of each user; user 3's 25th row was altered, user 4's 10th anonymised."""
+    log = P.audit_chain(fx.events(spark, sf).select("user_id", "ts", "event_id", "event_type", "props"), "user_id", ["ts", "event_id"], ["event_type", "props"])
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     log = log.withColumn("at", at).withColumn("is_anonymized", (F.col("user_id") == 4) & (F.col("at") == 10))
     altered = F.when(((F.col("user_id") == 3) & (F.col("at") == 25)) | F.col("is_anonymized"), "altered").otherwise(F.col("event_type"))

@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from ..operators import reports as R
 from ..operators import runstats as W
 from ..operators.select import latest, top_n
+from ..operators.stats import quantiles
 from ..registry import query
 
 SINCE, UNTIL = "2024-01-05", "2024-01-25"
@@ -61,6 +62,14 @@ def platform_cost(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.when(F.col("all") == 1, "TOTAL").otherwise(F.col("model")).alias("model"), "cost", "runs")
 
 
+@query("select strftime(date_trunc('week', started_at), '%Y-%m-%d') as bucket, round(sum(cost_usd), 4) as cost, count(*) as runs from v_runs group by 1 union all select 'TOTAL', round(sum(cost_usd), 4), count(*) from v_runs")
+def platform_cost_by_week(spark: SparkSession, sf: str) -> DataFrame:
+    """As platform_cost, by time bucket."""
+    r = fx.runs(spark, sf).withColumn("bucket", F.date_format(F.date_trunc("week", "started_at"), "yyyy-MM-dd"))
+    g = r.rollup("bucket").agg(F.round(F.sum("cost_usd"), 4).alias("cost"), F.count("*").alias("runs"), F.grouping("bucket").alias("all"))
+    return g.select(F.when(F.col("all") == 1, "TOTAL").otherwise(F.col("bucket")).alias("bucket"), "cost", "runs")
+
+
 @query("select (select count(*) from v_tenants) as tenants, count(distinct tenant_id) as active, (select count(*) from v_usage) as events, count(*) as runs, round(sum(cost_usd), 4) as cost from v_runs")
 def platform_overview(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.tenants(spark).agg(F.count("*").alias("tenants"))
@@ -69,19 +78,24 @@ def platform_overview(spark: SparkSession, sf: str) -> DataFrame:
     return r.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(u))  # one-row aggregates
 
 
-@query("select tier, count(*) as tenants, count(*) * case tier when 'team' then 49 when 'enterprise' then 199 else 0 end as mrr from v_tenants group by 1")
+@query("with t as (select case c_mktsegment when 'BUILDING' then 'team' when 'MACHINERY' then 'enterprise' when 'FURNITURE' then 'trial' else 'community' end as tier from customer), m as (select tier, count(*) as tenants, count(*) * case tier when 'team' then 49 when 'enterprise' then 199 else 0 end as mrr from t group by 1) select * from m union all select 'TOTAL', sum(tenants), sum(mrr) from m")
 def mrr_by_tier(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers play the tenants, their segments the tiers; one tier has no price."""
+    segment = F.col("c_mktsegment")
+    t = fx.table(spark, sf, "customer").select(F.when(segment == "BUILDING", "team").when(segment == "MACHINERY", "enterprise").when(segment == "FURNITURE", "trial").otherwise("community").alias("tier"))
     price = F.create_map(*[F.lit(x) for p in fx.TIER_PRICE.items() for x in p])
-    return fx.tenants(spark).groupBy("tier").agg(F.count("*").alias("tenants")).withColumn("mrr", F.col("tenants") * F.coalesce(price[F.col("tier")], F.lit(0)))
+    m = t.groupBy("tier").agg(F.count("*").alias("tenants")).withColumn("mrr", F.col("tenants") * F.coalesce(price[F.col("tier")], F.lit(0)))
+    return m.union(m.agg(F.lit("TOTAL"), F.sum("tenants"), F.sum("mrr")))
 
 
 @query("""select round(avg((status = 'FAIL')::int), 6) as error_rate, round(quantile_cont(seconds, 0.95) filter (status <> 'RUNNING'), 6) as p95_runtime, (select round(count(*) filter (accepted) / count(*), 6) from v_feedback) as acceptance,
   (select round(avg(1 - abs(predicted - actual) / greatest(predicted, actual, 0.01)), 6) from v_feedback) as avg_accuracy from v_runs""")
 def platform_health(spark: SparkSession, sf: str) -> DataFrame:
     """Acceptance is over all feedback rows, undecided ones included."""
-    r = fx.runs(spark, sf).agg(F.round(F.avg((F.col("status") == "FAIL").cast("int")), 6).alias("error_rate"), F.round(F.percentile(F.when(F.col("status") != "RUNNING", F.col("seconds")), 0.95), 6).alias("p95_runtime"))
+    r = fx.runs(spark, sf).agg(F.round(F.avg((F.col("status") == "FAIL").cast("int")), 6).alias("error_rate"), F.lit(1).alias("one"))
+    p = quantiles(fx.runs(spark, sf).where("status <> 'RUNNING'"), [], "seconds", {"p": 0.95}).select(F.round("p", 6).alias("p95_runtime"))
     f = fx.feedback(spark, sf).agg(F.round(F.count_if("accepted") / F.count("*"), 6).alias("acceptance"), F.round(F.avg(W.cost_accuracy("predicted", "actual")), 6).alias("avg_accuracy"))
-    return r.crossJoin(F.broadcast(f))
+    return r.drop("one").crossJoin(F.broadcast(p)).crossJoin(F.broadcast(f))  # one-row aggregates
 
 
 @query("select tenant_id, event_type, sum(quantity)::bigint as quantity from v_usage where created_at >= '2024-01-01' and created_at < '2024-02-01' group by 1, 2")
@@ -170,6 +184,13 @@ def period_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return R.compare_periods(fx.runs(spark, sf), F.col("cost_usd"), "started_at", ("2024-01-16", "2024-01-31"), ("2024-01-01", "2024-01-16"))
 
 
+@query("""select c as current_total, p as previous_total, c - p as change, case when p <> 0 then round((c - p) / p * 100, 2) end as percent, case when c > p then 'up' when c < p then 'down' else 'flat' end as direction
+  from (select count(*) filter (created_at >= '2024-01-16' and created_at < '2024-01-31')::double as c, count(*) filter (created_at >= '2024-01-01' and created_at < '2024-01-16')::double as p from v_usage)""")
+def usage_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """As period_comparison, of usage by its rows."""
+    return R.compare_periods(fx.usage(spark, sf), F.lit(1.0), "created_at", ("2024-01-16", "2024-01-31"), ("2024-01-01", "2024-01-16"))
+
+
 @query("select plan_id, round(coalesce(sum(cost_usd), 0), 4) as cost, count(*) as steps, count(*) filter (status = 'FAIL') as failed, count(error_message) as errors from v_runs group by 1")
 def plan_cost_summary(spark: SparkSession, sf: str) -> DataFrame:
     return fx.runs(spark, sf).groupBy("plan_id").agg(F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("cost"), F.count("*").alias("steps"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.count("error_message").alias("errors"))

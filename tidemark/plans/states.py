@@ -19,15 +19,15 @@ def wm_latest(spark: SparkSession, sf: str) -> DataFrame:
     return S.latest_watermark(fx.watermarks(spark, sf)).select("model", "partition_start", "partition_end", "row_count")
 
 
-@query("select model, partition_start, partition_end, row_count from v_watermarks where model < 20 order by model, partition_start")
+@query("select model, partition_start, partition_end, row_count from v_watermarks order by model, partition_start")
 def wm_history(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.watermarks(spark, sf).where("model < 20").select("model", "partition_start", "partition_end", "row_count").orderBy("model", "partition_start")
+    return fx.watermarks(spark, sf).select("model", "partition_start", "partition_end", "row_count").orderBy("model", "partition_start")
 
 
-@query(f"""with l as (select * from {LATEST}), m as (select p_partkey as model from part where p_partkey between 1 and 300), up as (select dst as model, min(partition_start) as up_start from v_edges join l on model = src group by 1)
+@query(f"""with l as (select * from {LATEST}), m as (select p_partkey as model from part), up as (select dst as model, min(partition_start) as up_start from v_edges join l on model = src group by 1)
   select model, least(coalesce(least(coalesce(partition_end, date '2001-08-02' - 30), up_start), coalesce(partition_end, date '2001-08-02' - 30)), date '2001-08-02') as start, date '2001-08-02' as "end" from m left join l using (model) left join up using (model)""")
 def wm_pending_range(spark: SparkSession, sf: str) -> DataFrame:
-    models = fx.table(spark, sf, "part").where("p_partkey between 1 and 300").select(F.col("p_partkey").alias("model"))
+    models = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("model"))
     return S.pending_ranges(models, fx.watermarks(spark, sf), fx.edges(spark, sf), fx.AS_OF)
 
 
@@ -58,14 +58,17 @@ def backfill_status(spark: SparkSession, sf: str) -> DataFrame:
     return g.join(first, "model")
 
 
-@query()
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as orders, round(sum(o_totalprice), 2) as total, 'COMPLETED' as status from orders group by 1")
 def backfill_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of a quarter into a table by month; the progress table is the result."""
+    """All years of orders, one chunk after another, into a table by month; the built table's months with the status of their chunk."""
     target, progress = M.scratch(spark), M.scratch(spark)
     o = fx.orders(spark, sf).withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    chunks = [("1998-01-01", "1998-01-31"), ("1998-02-01", "1998-02-28"), ("1998-03-01", "1998-03-31")]
+    ends = o.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    chunks = [(f"{y}-01-01", f"{y}-12-31") for y in range(ends[0], ends[1] + 1)]
     body = lambda s, e: o.where((F.col("o_orderdate") >= F.lit(s).cast("timestamp")) & (F.col("o_orderdate") < F.lit(e).cast("timestamp")))
-    return S.run_backfill(spark, chunks, lambda s, e: M.incremental(body, s, e, target, ["month"]), progress)
+    done = S.run_backfill(spark, chunks, lambda s, e: M.incremental(body, s, e, target, ["month"]), progress)
+    built = spark.read.option("basePath", target).schema(o.schema).parquet(target).groupBy("month").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return built.join(done.select(F.substring("start", 1, 4).alias("year"), "status"), F.substring("month", 1, 4) == F.col("year")).select("month", "orders", "total", "status")
 
 
 @query("select distinct plan_id, model from v_runs where (plan_id, model) not in (select (plan_id, model) from v_runs where status = 'SUCCESS')")

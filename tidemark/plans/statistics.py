@@ -84,13 +84,32 @@ def telemetry_daily(spark: SparkSession, sf: str) -> DataFrame:
     return S.rollup(fx.telemetry(spark, sf), "day")
 
 
-KPIS = [("view", 480.0, 600.0, 1), ("click", 10.0, 20.0, 1), ("purchase", 20.0, 10.0, 0), ("signup", 400.0, 30.0, 0), ("error", 100.0, 600.0, 1), ("none", 1.0, 2.0, 1)]
+# KPIs with target, warning value and whether lower is better.
+KPIS = [
+    ("plan_generation_time_seconds", 30.0, 45.0, 1), ("plan_accuracy_percent", 95.0, 90.0, 0), ("cost_savings_percent", 15.0, 10.0, 0), ("semantic_diff_false_positive_rate", 10.0, 20.0, 1),
+    ("api_p95_response_time_seconds", 2.0, 5.0, 1), ("planner_determinism_rate", 100.0, 100.0, 0), ("ai_suggestion_acceptance_rate", 60.0, 40.0, 0),
+]
+# events play the metrics: each type under one KPI, on its scale
+MEASURED = {"view": ("plan_generation_time_seconds", 0.08), "click": ("plan_accuracy_percent", 0.4), "purchase": ("cost_savings_percent", 1.0), "signup": ("semantic_diff_false_positive_rate", 0.03), "error": ("planner_determinism_rate", 0.2)}
+METRICS = "(select case event_type " + " ".join(f"when '{k}' then '{n}'" for k, (n, _) in MEASURED.items()) + " end as kpi, value * case event_type " + " ".join(f"when '{k}' then {x}::double" for k, (_, x) in MEASURED.items()) + " end as value from events)"
 
 
-@query(f"""with g as (select event_type as kpi, list_sort(list(value))[least(floor(count(*) * 0.95::double)::bigint + 1, count(*))] as p95, avg(value) as mean from events group by 1), j as (select *, case when lower_is_better = 1 then p95 else mean end as v from {fx.values(KPIS, 'kpi, target, warn, lower_is_better')} left join g using (kpi))
-  select kpi, round(v, 6) as value, case when v is null then 'insufficient' when case when lower_is_better = 1 then v <= target else v >= target end then 'passing' when case when lower_is_better = 1 then v <= warn else v >= warn end then 'warning' else 'failing' end as status from j""")
+KPI_REPORT = f"""with g as (select kpi, count(value) as sample_size, list_sort(list(value))[least(floor(count(*) * 0.95::double)::bigint + 1, count(*))] as p95, avg(value) as mean from {METRICS} group by 1), j as (select *, case when lower_is_better = 1 then p95 else mean end as v from {fx.values(KPIS, 'kpi, target, warn, lower_is_better')} left join g using (kpi))
+  select kpi, round(v, 6) as value, case when v is null then 'insufficient' when case when lower_is_better = 1 then v <= target else v >= target end then 'passing' when case when lower_is_better = 1 then v <= warn else v >= warn end then 'warning' else 'failing' end as status, coalesce(sample_size, 0) as sample_size from j"""
+
+
+STATUSES = ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("passing", "warning", "failing", "insufficient"))
+
+
+@query(KPI_REPORT)
 def kpi_report(spark: SparkSession, sf: str) -> DataFrame:
-    return S.kpi_report(fx.events(spark, sf).select(F.col("event_type").alias("kpi"), "value"), spark.createDataFrame(KPIS, "kpi string, target double, warn double, lower_is_better int"))
+    kind = lambda k: F.create_map(*[F.lit(x) for name, v in MEASURED.items() for x in (name, v[k])])[F.col("event_type")]
+    return S.kpi_report(fx.events(spark, sf).select(kind(0).alias("kpi"), (F.col("value") * kind(1)).alias("value")), spark.createDataFrame(KPIS, "kpi string, target double, warn double, lower_is_better int"))
+
+
+@query(f"select count(*) as total, {STATUSES}, case when count(*) filter (status = 'failing') = 0 then 'healthy' when count(*) filter (status = 'failing') <= 2 then 'degraded' else 'unhealthy' end as health from ({KPI_REPORT})")
+def kpi_health(spark: SparkSession, sf: str) -> DataFrame:
+    return S.kpi_health(kpi_report(spark, sf))
 
 
 @query("""with d as (select event_type, value * (1 + day(ts) / 30.0::double) as v, row_number() over (partition by event_type order by ts, event_id) as a, row_number() over (partition by event_type order by ts desc, event_id desc) as b, count(*) over (partition by event_type) as t from events),
@@ -110,11 +129,12 @@ def cost_predict(spark: SparkSession, sf: str) -> DataFrame:
     return fx.telemetry(spark, sf).select("run_id", *[c.alias(n) for n, c in cols.items()])
 
 
-@query()
+@query("""with t as (select run_id, runtime_seconds as y, output_rows::double as a, partition_count::double as b from v_telemetry), c as (select avg(y) as my, avg(a) as ma, avg(b) as mb, covar_pop(a, y) as ay, covar_pop(b, y) as yb, covar_pop(a, b) as ab, var_pop(a) as aa, var_pop(b) as bb from t),
+  w as (select *, (ay * bb - yb * ab) / (aa * bb - ab * ab) as wa, (yb * aa - ay * ab) / (aa * bb - ab * ab) as wb from c) select run_id, round(greatest(0, my + wa * (a - ma) + wb * (b - mb)), 3) as predicted from t, w""")
 def cost_model_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions of a regression that is fitted on the telemetry."""
-    t = fx.telemetry(spark, sf).select("run_id", F.col("runtime_seconds"), F.col("shuffle_bytes").cast("double"), F.col("input_rows").cast("double"), F.col("partition_count").cast("double"), (F.col("runtime_seconds") * 0.0028).alias("cost"))
-    return S.predict_cost(S.fit_cost_model(t, ["runtime_seconds", "shuffle_bytes", "partition_count"], "cost"), t).select("run_id", F.round("predicted", 6).alias("predicted"))
+    """Run times by a regression on two features that determine all others of the telemetry; the SQL solves the normal equations."""
+    t = fx.telemetry(spark, sf).select("run_id", "runtime_seconds", F.col("output_rows").cast("double"), F.col("partition_count").cast("double"))
+    return S.predict_cost(S.fit_cost_model(t, ["output_rows", "partition_count"], "runtime_seconds"), t).select("run_id", F.round("predicted", 3).alias("predicted"))
 
 
 @query("select model, round(regr_slope(runtime_seconds, output_rows), 6) as slope, round(regr_intercept(runtime_seconds, output_rows), 6) as intercept from v_telemetry group by 1")

@@ -34,11 +34,27 @@ def stream_quota(spark: SparkSession, sf: str) -> DataFrame:
     return S.upsert_batches(totals, ["tenant_id", "month"])
 
 
-@query("select event_id, case when handled then 'delivered' when attempts + 1 >= 3 then 'failed' else 'pending' end as status, case when handled then attempts else attempts + 1 end as attempts from v_outbox")
+STEP_SQL = "case when handled then 'delivered' when attempts + 1 >= 3 then 'failed' else 'pending' end as status, case when handled then attempts else attempts + 1 end as attempts"
+
+
+@query(f"select event_id, {STEP_SQL} from v_outbox")
 def outbox_step(spark: SparkSession, sf: str) -> DataFrame:
     return S.outbox_step(fx.outbox(spark, sf)).select("event_id", "status", "attempts")
 
 
+def _outbox_stream(spark: SparkSession, sf: str) -> DataFrame:
+    e = S.read(spark, sf, "events", "ts")
+    return e.select("event_id", "event_type", F.lit("pending").alias("status"), (F.col("event_id") % 4).alias("attempts"), (F.col("event_id") % 5 != 0).alias("handled"), F.col("ts").alias("created_at"))
+
+
+@query(f"""with o as (select *, row_number() over (order by created_at, event_id) as rn, least(500, greatest(100, 2 * count(*) over ())) as size from v_outbox)
+  select event_id, status, attempts from (select event_id, {STEP_SQL} from o where rn <= size union all select event_id, status, attempts from o where rn > size)""")
+def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """The outbox after one delivery step: its oldest rows were tried, as many as a step takes."""
+    return S.deliver(_outbox_stream(spark, sf)).select("event_id", "status", "attempts")
+
+
 @query("select event_id, subscriber from v_outbox join (select 'billing' as subscriber, ['purchase', 'signup'] as types union all select 'alerts', ['error'] union all select 'all', ['click', 'view', 'error', 'signup', 'purchase']) on list_contains(types, event_type)")
 def event_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    return S.fan_out(fx.outbox(spark, sf), spark.createDataFrame(SUBSCRIBERS, "subscriber string, event_types array<string>"))
+    """A stream-static join, drained."""
+    return S.drain(S.fan_out(_outbox_stream(spark, sf), spark.createDataFrame(SUBSCRIBERS, "subscriber string, event_types array<string>")))

@@ -62,6 +62,45 @@ def outbox_step(batch: DataFrame, max_attempts: int = 3) -> DataFrame:
     return batch.withColumns({"status": status, "attempts": F.when((F.col("status") == "pending") & ~F.col("handled"), tried).otherwise(F.col("attempts"))})
 
 
+def batch_size(pending: int, least: int = 100, most: int = 500) -> int:
+    """Rows of a delivery step: twice what is pending, within bounds."""
+    return min(most, max(least, 2 * pending))
+
+
+def deliver(stream: DataFrame, steps: int = 1, most: int = 500) -> DataFrame:
+    """An outbox fed by a stream (event_id, created_at, status, attempts, handled): after each micro-batch `steps` delivery steps of the oldest pending rows.
+
+    The outbox after a micro-batch is one folder; a micro-batch that runs again rewrites it from
+    the one before, so a delivery happens at least once and its outcome counts once. Returns the
+    outbox once all input is taken in.
+    """
+    spark = stream.sparkSession
+    out, state = scratch(spark), scratch(spark)
+    folder = lambda n: f"{out}/after={n}"
+    newest = {"n": None}
+
+    def step(rows: DataFrame) -> DataFrame:
+        pending = rows.where("status = 'pending'")
+        size = batch_size(pending.count(), most=most)
+        now = pending.orderBy("created_at", "event_id").limit(size)
+        return outbox_step(now).unionByName(rows.join(now.select("event_id"), "event_id", "left_anti"))
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch
+        if n:
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(folder(n - 1)).unionByName(batch)
+        for k in range(steps):
+            # each step reads what the one before wrote
+            path = folder(n) if k == steps - 1 else scratch(spark)
+            step(rows).write.mode("overwrite").parquet(path)
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        newest["n"] = n
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder(newest["n"])) if newest["n"] is not None else spark.createDataFrame([], stream.schema)
+
+
 def fan_out(events: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """(event_id, subscriber): subscribers (subscriber, event_types) are few and go to every task; their size is the number of registrations."""
-    return events.join(subscribers, F.array_contains("event_types", F.col("event_type"))).select("event_id", "subscriber")
+    """(event_id, subscriber) of a stream or table of events: subscribers (subscriber, event_types) are as few as registrations, so they go to every task, one row a type."""
+    by_type = subscribers.select("subscriber", F.explode("event_types").alias("event_type")).distinct()
+    return events.join(F.broadcast(by_type), "event_type").select("event_id", "subscriber")
