@@ -52,6 +52,66 @@ def test_license_notice_in_any_share_of_the_rows(spark):
             assert {r.labels for r in got if rows[r.doc_id][1] == notice} == {label}
 
 
+def brute_labels(text, index, idf, coverage=0.6, share=0.6, drift=10):
+    """Labels and score by trying every relative position and every key phrase at every place."""
+    ws = licenses.words_of(text.encode())
+    stands = lambda p: any(ws[k : k + len(p)] == p for k in range(len(ws)))
+    labels = {label for p, label in index.base if stands(p)}
+    score = 0.5 * bool(labels)
+    for label, own, keys in index.templates:
+        rare = sorted(set(own), key=lambda w: (-idf[w], w))[: max(8, -int(-share * len(set(own)) // 1))]
+        best = 0.0
+        for at in range(-len(own), len(ws) + 1):
+            held = {own[k] for k in range(len(own)) if own[k] in rare and any(ws[p] == own[k] for p in range(max(0, at + k), min(len(ws), at + k + drift + 1)))}
+            best = max(best, sum(idf[w] for w in held) / sum(idf[w] for w in rare))
+        if best >= coverage - 1e-12 and any(stands(k) for k in keys):
+            labels.add(label)
+            score = max(score, min(1.0, best))
+    return labels, score
+
+
+def test_license_labels_against_every_position():
+    rng = random.Random(12)
+    index = licenses.Index(licenses.TEMPLATES, licenses.BASE)
+    idf = {w: 1 + rng.random() * 5 for w in index.vocabulary}
+    rare = licenses.rarest_words(index, idf, 0.6)
+    some = [w.decode() for w in sorted(index.vocabulary)]
+    for _ in range(25):
+        ws = []
+        for _ in range(2):
+            own = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(0, 8)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [rng.choice(some)] * rng.randrange(2)
+            ws += own[rng.randrange(3) :] + [rng.choice(some) for _ in range(rng.randrange(4))]
+        labels, score = brute_labels(" ".join(ws), index, idf)
+        _, _, mine, own_score = licenses.scan_words(licenses.words_of(" ".join(ws).encode()), index, idf, rare, 0.6)
+        assert set(mine) == labels and abs(own_score - score) < 1e-9
+
+
+def test_license_notices_with_words_put_in(spark):
+    """Notices of 20 words or more with 1 to 3 words put in anywhere outside their key phrases are found in 9 of 10 places."""
+    rng = random.Random(2)
+    rows, want = [], []
+    for label, notice, keys in licenses.TEMPLATES:
+        own = notice.split()
+        if len(own) >= 20:
+            for n in (1, 2, 3):
+                for _ in range(30):
+                    ws = list(own)
+                    for _ in range(n):
+                        ws.insert(rng.randrange(len(ws)), rng.choice(["really", "any", "such", "new"]))
+                    if any(" ".join(k.split()) in " ".join(w.decode() for w in licenses.words_of(" ".join(ws).encode())) for k in keys):
+                        want.append((len(rows), label, n))
+                        rows.append((len(rows), "some words before " + " ".join(ws) + " and some after"))
+    df = spark.createDataFrame(rows * 2 + [(-1, "other words of no notice")] * 300, "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(df).collect()}
+    assert got[-1] == {""}
+    for n in (1, 2, 3):
+        of = [label in got[i] for i, label, m in want if m == n]
+        assert len(of) > 200 and sum(of) >= 0.9 * len(of), (n, sum(of), len(of))
+
+
 def test_language_grams_do_not_depend_on_pieces():
     text = "ab c déf. " * 60000
     whole = language.grams(text, 64)

@@ -2,10 +2,11 @@
 
 Every template's words are posted as (word, template, position). The index is as large as the
 templates, whatever the corpus. For each template its words of highest inverse document
-frequency (counted over all files) are looked up in a file, so that one notice never crowds out
-another; each occurrence votes for its template at a relative position (place in the file less place in the template); the template of an
-alignment with enough of its rare words is reported once one of its key phrases stands in the
-file. The key phrases of the base labels are templates of their own: their rarest word is the
+frequency (counted over all files), a share of them that is a parameter, are looked up in a file,
+so that one notice never crowds out another; each occurrence votes for its template at a relative
+position (place in the file less place in the template). Positions within a few words of one
+another chain, as words that were put in or left out shift what follows; the template of a chain
+with enough of its rare words is reported once one of its key phrases stands in the file. The key phrases of the base labels are templates of their own: their rarest word is the
 anchor, and every place of it is intersected with the postings of the others.
 """
 
@@ -30,10 +31,18 @@ TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ["apache license version 2 0", "apache license"]),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu general public license"]),
     ("gpl", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license"]),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["gnu general public license"]),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["lesser general public license", "library general public license"]),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["lesser general public license"]),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["affero general public license"]),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ["affero general public license"]),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["may be used to endorse or promote products"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["redistribution and use in source and binary forms"]),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license"]),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ["permission is granted to anyone to use this software"]),
+    ("boost", "Boost Software License - Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software", ["boost software license", "person or organization obtaining a copy"]),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", ["eclipse public license"]),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.", ["dedicated all copyright and related"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0.", ["cc by nc"]),
@@ -86,12 +95,32 @@ def places(at: dict[bytes, list[int]], phrase: list[bytes], idf: dict[bytes, flo
     return [p - k for p in at[phrase[k]] if all(p + d in s for d, s in sets)]
 
 
-def rarest_words(index: Index, idf: dict[bytes, float], lookups: int) -> list[frozenset[bytes]]:
-    """For each template its `lookups` rarest words, however common they are."""
-    return [frozenset(sorted(set(ws), key=lambda w: (-idf[w], w))[:lookups]) for _, ws, _ in index.templates]
-
-
-def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: list[frozenset[bytes]], coverage: float) -> tuple[list[int], list[str], list[str], float]:
+def rarest_words(index: Index, idf: dict[bytes, float], share: float) -> list[frozenset[bytes]]:
+    """For each template the given share of its words, 8 at least, rarest first, however common they are."""
+    return [frozenset(sorted(set(ws), key=lambda w: (-idf[w], w))[: max(8, math.ceil(share * len(set(ws))))]) for _, ws, _ in index.templates]
+
+
+def best_chain(votes: list[tuple[int, bytes]], idf: dict[bytes, float], drift: int) -> float:
+    """The largest weight of the different words of votes (relative position, word) whose positions lie within `drift`."""
+    best = weight = 0.0
+    held: Counter = Counter()
+    votes = sorted(votes)
+    start = 0
+    for at, w in votes:
+        while votes[start][0] < at - drift:
+            gone = votes[start][1]
+            held[gone] -= 1
+            if not held[gone]:
+                weight -= idf[gone]
+            start += 1
+        if not held[w]:
+            weight += idf[w]
+        held[w] += 1
+        best = max(best, weight)
+    return best
+
+
+def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: list[frozenset[bytes]], coverage: float, drift: int = 10) -> tuple[list[int], list[str], list[str], float]:
     """Starts of base phrases, base labels, all labels, score."""
     present = index.vocabulary.intersection(words)
     # a template counts only with one of its key phrases
@@ -109,17 +138,12 @@ def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest
             base.add(label)
     labels, score = set(base), 0.5 * bool(base)
     top = {w: {n for n in open_ if w in rarest[n]} for w in present if w in index.postings}
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
+    votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
     for w, voters in top.items():
         for n, k in index.postings[w]:
             if n in voters:
-                for p in at[w]:
-                    votes[n, p - k].add(k)
-    best: dict[int, float] = {}
-    for (n, _), ks in votes.items():
-        ws = index.templates[n][1]
-        weight = sum(idf[w] for w in {ws[k] for k in ks})
-        best[n] = max(best.get(n, 0.0), min(1.0, weight / max(sum(idf[w] for w in rarest[n]), 1e-9)))
+                votes[n] += [(p - k, w) for p in at[w]]
+    best = {n: min(1.0, best_chain(v, idf, drift) / max(sum(idf[w] for w in rarest[n]), 1e-9)) for n, v in votes.items()}
     for n, share in best.items():
         label, _, keys = index.templates[n]
         if share >= coverage and any(places(at, k, idf) for k in keys):
@@ -128,19 +152,21 @@ def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest
     return starts, sorted(base), sorted(labels), min(1.0, score)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, base: dict[str, str] = BASE, lookups: int = 24, coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, base: dict[str, str] = BASE, rare: float = 0.6, coverage: float = 0.6) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
     A null or blank text has no words and gives 0, 0, null, null, '', '', 0.0. Ids may be null or
-    repeat; an empty table gives an empty result; other columns are not read. lookups: rarest
-    words of each template looked up in a file, whatever share of the rows holds them; they bound its votes alone, never the base phrases, of which every place counts.
+    repeat, and every row has its own result; texts are read whole, whatever their length; of
+    templates that tie all labels stand; an empty table gives an empty result; other columns are
+    not read. rare: the share of each template's words, rarest first, that are looked up for its
+    votes; base phrases are found at every place, whatever the share.
     """
     index = Index(templates, base)
     df = document_frequencies(docs, index, text_col)
     total = max(df.get(b"", 0), 1)
     # above 0 even for a word of every row
     idf = {w: 1 + math.log((1 + total) / (1 + df.get(w, 0))) for w in index.vocabulary}
-    rarest = rarest_words(index, idf, lookups)
+    rarest = rarest_words(index, idf, rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
