@@ -1,7 +1,9 @@
+import random
 import re
 
 import duckdb
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
 from tidemark.llm import chats, decontaminate, secrets
@@ -78,10 +80,82 @@ def test_decontamination(spark):
         (7, "first 1 words of the sum of 2 then with 3 birds on the hill"), (8, "w " * 40000 + ITEM), (9, ITEM[: len(ITEM) // 4]), (1, "another text under the same id"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as row", "2 as item", "3 as h")
-    items = spark.createDataFrame([(100, ITEM), (101, torn), (102, None), (103, "too short")], "item_id long, text string")
+    items = spark.createDataFrame([(100, ITEM), (101, torn), (102, None), (103, "too short"), (104, "")], "item_id long, text string")
     found = decontaminate.leaks(df, items)
     got = {(r.id, r.item): r.verbatim for r in found.collect()}
     assert got == {(1, 100): True, (2, 100): False, (None, 100): True, (6, 101): False, (8, 100): True}
     left = decontaminate.clean(df, found)
     assert left.columns == df.columns and sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted((str(i), t or "") for i, t in docs if (i, 100) not in got and i != 6 or t.startswith("another"))
     assert decontaminate.leaks(df.limit(0), items).count() == 0 and decontaminate.leaks(df, items.limit(0)).count() == 0
+
+
+def brute_leaks(docs, items, width=5, share=0.5, least=9):
+    """{(doc, item): verbatim} by comparing all windows of all pairs in Python."""
+    D = decontaminate
+
+    def forms(text):
+        t = re.sub("[0-9]+", D.NUMBER, text or "")
+        t = regex.sub(f"(?<={D.NUMBER} ?)(?i:{D.UNITS})(?!\\p{{L}})", D.UNIT, t)
+        split = lambda x: [w for w in regex.split(f"[^\\p{{L}}\\p{{N}}{D.NAME}{D.NUMBER}{D.UNIT}]+", x) if w]
+        ws = split(t)
+        return [[w.lower() for w in ws], [D.NAME if w[0] != w[0].lower() and w.lower() not in D.FUNCTION else w.lower() for w in ws]], [w.lower() for w in split(text or "")]
+
+    def windows(text, n):
+        both, raw = forms(text)
+        return [(p, tuple(w[p : p + n]), [raw[p + k] for k in range(n) if set(w[p + k]) & {D.NAME, D.NUMBER, D.UNIT}], form) for form, w in enumerate(both) for p in range(len(w) - n + 1)]
+
+    out = {}
+    for item, text in items:
+        size = len(forms(text)[1])
+        if not size:
+            continue
+        n = min(width, size)
+        for form in range(2):
+            own = [x for x in windows(text, n) if x[3] == form]
+            own = [x for x in own if n == width and len(x[1]) - len(x[2]) >= 3 - form] or own
+            for doc, other in docs:
+                shifts = {}
+                for q, w, v, _ in windows(other, n):
+                    for p, x, u, _ in own:
+                        if w == x:
+                            at, pairs = shifts.setdefault(q - p, (set(), set()))
+                            at.add(p)
+                            pairs.update(zip(u, v, strict=True))
+                good = [(at, all(a == b for a, b in pairs)) for at, pairs in shifts.values() if len({a for a, _ in pairs}) == len(pairs)]
+                good = [x for x in good if n == width or x[1]]
+                met = set().union(*(at for at, _ in good))
+                if met and (len(met) / len({x[0] for x in own}) >= share or len(met) >= least):
+                    out[doc, item] = out.get((doc, item), False) or all(same for _, same in good)
+    return out
+
+
+def reworded(text, rng):
+    """The same question with other numbers, units and names, each always by the same one."""
+    names = ["Laura", "Kevin", "Bertha", "Oswald", "Petra"]
+    rng.shuffle(names)
+    other = dict(zip(["Maria", "Peter", "Anna", "Tom"], names))
+    numbers = {}
+    text = re.sub(r"\b(Maria|Peter|Anna|Tom)\b", lambda m: other[m[0]], text)
+    return re.sub(r"[0-9]+", lambda m: numbers.setdefault(m[0], str(1000 + 7 * len(numbers) + rng.randrange(7))), text)
+
+
+def test_reworded_items_are_found(spark):
+    """200 items made of benchmark passages, with names at the beginning of sentences, numbers and units: reworded copies within other text."""
+    rng = random.Random(9)
+    table = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
+    items, docs = [], []
+    for k in range(200):
+        ws = table[k % len(table)].text.split()
+        at = rng.randrange(max(1, len(ws) - 24))
+        ws = ws[at : at + rng.choice([8, 16, 24])]
+        a, b = rng.sample(["Maria", "Peter", "Anna", "Tom"], 2)
+        text = rng.choice([f"{a} has {k + 2} apples. {b} gives {a} {k + 5} kg. ", f"How far is {k + 3} km from {a}? ", f"{b} counts {k} and {k + 9} and pays {k + 1} dollars to {a}. "]) + " ".join(ws)
+        items.append((k, text))
+        docs.append((k, " ".join(rng.choice(ws) for _ in range(20)) + ". " + reworded(text, rng) + " " + " ".join(rng.choice(ws) for _ in range(20))))
+    short = [(1000, "Compute 12 + 35 + 47"), (1001, "What is 2 plus"), (1002, "Yes"), (1003, "Maria has 12 apples. Peter gives Maria 7."), (1004, None), (1005, "...")]
+    docs += [(1000, "so compute 12 + 35 + 47 now"), (1001, "and What is 2 plus 3"), (1002, "compute 13 + 35 + 47, what is 3 plus"), (1003, "then laura has 3 apples. Kevin gives Laura 8. Laura has 3 apples. Kevin gives Laura 9."), (1004, "Oh yes."), (1005, None), (1005, "Ann has 4 apples. Bert gives Kim 2.")]
+    df = lambda rows, names: spark.createDataFrame(rows, names)
+    got = {(r.id, r.item): r.verbatim for r in decontaminate.leaks(df(docs, "doc_id long, text string"), df(items + short, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, items + short)
+    assert sum((k, k) in got for k in range(200)) >= 0.9 * 200
+    assert {(1000, 1000), (1001, 1001), (1003, 1003), (1004, 1002)} <= set(got) and not {(1002, 1000), (1002, 1001), (1005, 1003)} & set(got)

@@ -1,11 +1,13 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, names and units become typed placeholders, one for one, so canonical and raw words keep
-their places. Windows of canonical words of the benchmark are hashed and joined with those of
-the documents. Windows of one alignment (place in the document less place in the item) belong
-together; they count only if the words behind the placeholders are consistent: one value in the
-item always stands for one value in the document. A re-parameterised question matches with
-other values. DataFrame functions only.
+Numbers, units and names become typed placeholders, one for one, so canonical and raw words keep
+their places. A text has two canonical forms: with names as they stand, in lower case, and with
+every capitalised word but function words as a name, at the beginning of a sentence too. Windows of
+canonical words of the benchmark are hashed and joined with those of the documents. Windows of
+one alignment (place in the document less place in the item) belong together; they count only
+if the words behind the placeholders are consistent: one value in the item always stands for one
+value in the document. A re-parameterised question matches with other values. DataFrame functions
+only.
 
 Before the join, document windows pass a table of one bit per hash slot that marks the
 benchmark's windows. Its size is fixed, so a larger benchmark only lets more windows through.
@@ -16,21 +18,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import let, row_key
+from .native import let, row_keys
 
 NAME, NUMBER, UNIT = "", "", ""
 # Units.
 UNITS = "kg|mg|g|km|cm|mm|m|ml|l|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inches|pounds?|lbs?|dollars?|usd|euros?|eur|percent|mph|kmh|watts?|volts?|litres?|liters?|meters?|metres?|kilometers?|kilometres?|grams?|degrees?"
+# Words that are no names where they are capitalised.
+FUNCTION = (
+    "a an and as at but by do does each every find for from give had has have he her his how i if in is it let many much no not of on or our she so some suppose that the their then there these they this to was we were what when where which who why will with you your "
+    "au aux ce cette dans de des du elle en est et il ils je la le les leur mais nous on ou par pas pour que qui se si son sont sur un une vous "
+    "als am auf aus das dem den der die du ein eine er es für ich im ist mit nach nicht sie sind und von was wie wir zu "
+    "al como con cuando del el ella ellos es esta este la las lo los mas no nos para pero por que se si su sus un una y"
+).split()
 SEPARATOR = f"[^\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}]+"
 SLOTS = 1 << 19
 
 
-def canonical(text: Column) -> Column:
-    """Canonical words. A name is a capitalised word that follows a word in lower case."""
-    named = F.regexp_replace(text, "(?<=\\p{Ll}[,;]? )\\p{Lu}\\p{L}*", NAME)
-    numbered = F.regexp_replace(named, "[0-9]+", NUMBER)
-    united = let(numbered, lambda x: F.when(F.contains(x, F.lit(NUMBER)), F.regexp_replace(x, f"(?<={NUMBER} ?)(?i:{UNITS})(?!\\p{{L}})", UNIT)).otherwise(x))
-    return words(F.lower(united))
+def typed(text: Column) -> Column:
+    """Words with numbers and units typed, in the case of the text."""
+    numbered = F.regexp_replace(text, "[0-9]+", NUMBER)
+    return words(let(numbered, lambda x: F.when(F.contains(x, F.lit(NUMBER)), F.regexp_replace(x, f"(?<={NUMBER} ?)(?i:{UNITS})(?!\\p{{L}})", UNIT)).otherwise(x)))
+
+
+def named(word: Column) -> Column:
+    """A name's placeholder for a capitalised word that isn't a function word; else the word in lower case."""
+    low = F.lower(word)
+    return F.when((F.substring(word, 1, 1) != F.substring(low, 1, 1)) & ~low.isin(*sorted(set(FUNCTION))), NAME).otherwise(low)
 
 
 def words(text: Column) -> Column:
@@ -42,74 +55,85 @@ def _bit(marked: bytes, k: Column) -> Column:
     return F.ascii(F.substring(F.lit(marked), F.floor(k / 7).cast("int") + 1, F.lit(1)).cast("string")).bitwiseAND(F.call_function("shiftleft", F.lit(1), k % 7)) != 0
 
 
-def _windows(text: Column, width: int, marked: bytes | None) -> Column:
-    """Array of (pos, h, slots): hashes of canonical windows with at least 3 plain words, and (place, raw word) of their placeholders."""
-    plain = lambda w: ~F.rlike(w, F.lit(f"[{NAME}{NUMBER}{UNIT}]"))
+def _plain(word: Column) -> Column:
+    return ~F.rlike(word, F.lit(f"[{NAME}{NUMBER}{UNIT}]"))
+
+
+WINDOW = "struct<pos:int,n:int,form:int,h:bigint,plain:int,slots:array<struct<at:int,value:string>>>"
+
 
-    def hashed(w: Column) -> Column:
+def _windows(text: Column, widths: list[int], marked: bytes | None) -> Column:
+    """Array of (pos, n, form, h, plain, slots): hashes of the windows of n canonical words in both forms (1: names typed), their plain words, and (place, raw word) of their placeholders."""
+
+    def hashed(w: Column, n: int) -> Column:
         return let(
             F.transform(w, lambda x: F.xxhash64(x)),
-            lambda h: F.when(F.size(h) < width, F.array().cast("array<struct<pos:int,h:bigint>>")).otherwise(
-                F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(h, i + k) for k in range(width)]).alias("h")))
+            lambda h: F.when(F.size(h) < n, F.array().cast("array<struct<pos:int,n:int,h:bigint>>")).otherwise(
+                F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(*[F.get(h, i + k) for k in range(n)]).alias("h")))
             ),
         )
 
-    def kept(w: Column) -> Column:
-        hs = hashed(w)
-        if marked is not None:
-            hs = F.filter(hs, lambda x: _bit(marked, F.pmod(x["h"], F.lit(SLOTS)).cast("int")))
-        return F.filter(hs, lambda x: F.size(F.filter(F.slice(w, x["pos"] + 1, F.lit(width)), plain)) >= 3)
+    def kept(w: Column, n: int) -> Column:
+        return hashed(w, n) if marked is None else F.filter(hashed(w, n), lambda x: _bit(marked, F.pmod(x["h"], F.lit(SLOTS)).cast("int")))
 
-    def slots(w: Column, hs: Column) -> Column:
-        return let(
-            words(text),
-            lambda raw: F.transform(
-                hs,
-                lambda x: F.struct(
-                    x["pos"].alias("pos"),
-                    x["h"].alias("h"),
-                    F.filter(
-                        F.transform(F.sequence(x["pos"], x["pos"] + width - 1), lambda p: F.when(~plain(F.get(w, p)), F.struct((p - x["pos"]).alias("at"), F.lower(F.get(raw, p)).alias("value")))),
-                        lambda s: s.isNotNull(),
-                    ).alias("slots"),
-                ),
-            ),
+    def slots(w: Column, hs: Column, form: int) -> Column:
+        one = lambda raw, x: F.filter(F.transform(F.sequence(x["pos"], x["pos"] + x["n"] - 1), lambda p: F.when(~_plain(F.get(w, p)), F.struct((p - x["pos"]).alias("at"), F.lower(F.get(raw, p)).alias("value")))), lambda s: s.isNotNull())
+        return F.when(F.size(hs) == 0, F.array().cast(f"array<{WINDOW}>")).otherwise(
+            let(words(text), lambda raw: F.transform(hs, lambda x: let(one(raw, x), lambda v: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), F.lit(form).alias("form"), x["h"].alias("h"), (x["n"] - F.size(v)).cast("int").alias("plain"), v.alias("slots"))))).cast(f"array<{WINDOW}>")
         )
 
-    kind = "array<struct<pos:int,h:bigint,slots:array<struct<at:int,value:string>>>>"
-    return let(canonical(text), lambda w: let(kept(w), lambda hs: F.when(F.size(hs) == 0, F.array().cast(kind)).otherwise(slots(w, hs).cast(kind))))
+    def both(raw: Column) -> Column:
+        found = []
+        for form, canonical in enumerate((F.lower, named)):
+            w = F.transform(raw, canonical)
+            found.append(let(w, lambda x: let(F.flatten(F.array(*[kept(x, n) for n in widths])) if len(widths) > 1 else kept(x, widths[0]), lambda hs: slots(x, hs, form))))  # noqa: B023
+        return F.concat(*found)
 
+    return let(typed(text), both)
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, share: float = 0.5, windows: int = 9) -> DataFrame:
-    """(id, row, item, windows, item_windows, share, verbatim): rows of docs that hold an item or a re-parameterised form of it.
 
-    A pair counts if, over its consistent alignments, at least `share` of the item's windows or
-    `windows` of them match. Items of fewer than `width` words have one window of what they have
-    and are left out, as are null texts. row is a hash of (id, text), by which rows with null or
-    repeated ids are told apart. Empty tables give an empty result; only the named columns are read.
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, share: float = 0.5, windows: int = 9) -> DataFrame:
+    """(id, k1, k2, item, windows, item_windows, share, verbatim): rows of docs that hold an item or a re-parameterised form of it.
+
+    A pair counts if, over its consistent alignments, at least `share` of the item's windows in one
+    form or `windows` of them match. An item's windows have 3 plain words or more, 2 with names
+    typed; an item without such windows has all its windows; one of fewer than `width` words is one window of all its words
+    and counts only where they stand word for word. Items without a word, null texts and empty
+    tables give nothing; texts are read whole. k1 and k2 are hashes of (id, text), by which rows
+    with null or repeated ids are told apart; repeated rows count once. Only the named columns are read.
     """
     item = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    own = item.select("item", F.explode(_windows(F.col("t"), width, None)).alias("w")).select("item", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("item_slots")).distinct()
-    sizes = own.groupBy("item").agg(F.countDistinct("item_pos").alias("item_windows"))
+    item = item.withColumn("size", F.size(typed(F.col("t")))).where("size > 0")
+    # at most width - 1 lengths
+    short = sorted(r.size for r in item.where(F.col("size") < width).select("size").distinct().collect())
+    own = item.select("item", "size", F.explode(_windows(F.col("t"), [width, *short], None)).alias("w")).select("item", "size", "w.*").where(F.col("n") == F.least("size", F.lit(width)))
+    # names leave fewer plain words
+    own = own.withColumn("rich", (F.col("n") == width) & (F.col("plain") >= 3 - F.col("form")))
+    rich = own.groupBy("item", "form").agg(F.max("rich").alias("any"))
+    own = own.join(rich, ["item", "form"]).where("rich or not any")
+    own = own.select("item", "form", F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots")).distinct()
+    sizes = own.groupBy("item", "form").agg(F.countDistinct("item_pos").alias("item_windows"))
     marks = bytearray(SLOTS // 7 + 1)
     # at most SLOTS rows, whatever the benchmark's size
     for r in own.select(F.pmod("h", F.lit(SLOTS)).alias("k")).distinct().collect():
         marks[r.k // 7] |= 1 << r.k % 7
     text = F.coalesce(F.col(text_col), F.lit(""))
-    seen = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.explode(_windows(text, width, bytes(marks))).alias("w"))
-    seen = seen.select("id", "row", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots")).distinct()
+    seen = docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)), F.explode(_windows(text, [width, *short], bytes(marks))).alias("w"))
+    seen = seen.select("id", "k1", "k2", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots")).distinct()
     met = seen.join(own, "h").withColumn("pairs", F.arrays_zip(F.transform("item_slots", lambda x: x["value"]).alias("a"), F.transform("slots", lambda x: x["value"]).alias("b")))
     # at most as many window positions as the item has: one document position for each
-    aligned = met.groupBy("id", "row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    aligned = aligned.where(F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs"))
+    aligned = met.groupBy("id", "k1", "k2", "item", "form", "item_n", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     same = F.forall("pairs", lambda x: x["a"] == x["b"])
-    per = aligned.select("id", "row", "item", same.alias("same"), F.explode("at").alias("p")).groupBy("id", "row", "item").agg(F.countDistinct("p").alias("windows"), F.min("same").alias("verbatim"))
-    out = per.join(sizes, "item").withColumn("share", F.col("windows") / F.col("item_windows"))
-    return out.where((F.col("share") >= share) | (F.col("windows") >= windows)).select("id", "row", "item", "windows", "item_windows", "share", "verbatim")
+    aligned = aligned.where((F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs")) & ((F.col("item_n") == width) | same))
+    per = aligned.select("id", "k1", "k2", "item", "form", same.alias("same"), F.explode("at").alias("p")).groupBy("id", "k1", "k2", "item", "form").agg(F.countDistinct("p").alias("windows"), F.min("same").alias("verbatim"))
+    out = per.join(sizes, ["item", "form"]).withColumn("share", F.col("windows") / F.col("item_windows")).where((F.col("share") >= share) | (F.col("windows") >= windows))
+    best = F.max_by(F.struct("windows", "item_windows", "share"), F.struct("share", -F.col("form"))).alias("best")
+    return out.groupBy("id", "k1", "k2", "item").agg(best, F.max("verbatim").alias("verbatim")).select("id", "k1", "k2", "item", "best.*", "verbatim")
 
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that leaks() found; all columns and all other rows stay."""
-    mark = "row key of decontamination"
-    keyed = docs.withColumn(mark, row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(found.select(F.col("row").alias(mark)).distinct(), mark, "left_anti").drop(mark)
+    """docs without the rows that leaks() found, repeated ones included; all columns and all other rows stay."""
+    mark = ["first key of decontamination", "second key of decontamination"]
+    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    keyed = docs.withColumn(mark[0], k1).withColumn(mark[1], k2)
+    return keyed.join(found.select(F.col("k1").alias(mark[0]), F.col("k2").alias(mark[1])).distinct(), mark, "left_anti").drop(*mark)

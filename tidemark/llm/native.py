@@ -35,5 +35,11 @@ def running(lens: Column, block: int = 128) -> Column:
 
 
 def row_key(id_col: Column, text: Column) -> Column:
-    """A long that equal (id, text) share; rows that share it by chance are only looked at once more."""
+    """A long that equal (id, text) share; for marks that only say which rows are looked at once more."""
     return F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+
+
+def row_keys(id_col: Column, text: Column) -> list[Column]:
+    """Two longs, k1 and k2, that equal (id, text) share: 128 bits, so that unlike rows don't share both."""
+    i, t = F.coalesce(id_col.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))
+    return [F.xxhash64(i, t).alias("k1"), F.xxhash64(F.lit(1), t, i).alias("k2")]
