@@ -79,3 +79,15 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
     assert sorted(r.component_id for r in S.near_duplicates(df).collect()) == [4, 4, 4]
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_wide_keys_are_pairs_of_nearest_codewords():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, (20, S.WORDS)).astype(np.uint64)
+    keys = S.wide_keys(fps)
+    g = S.golay()
+    for f, ks in zip(fps, keys, strict=True):
+        bits = sum(int(w) << (64 * k) for k, w in enumerate(f))
+        code = [int(g.decode(np.array([(bits >> (23 * k)) & ((1 << 23) - 1)]))[0, 0]) >> 1 for k in range(S.WIDE)]
+        assert ks.tolist() == [(n << 24) | (code[i] << 12) | code[j] for n, (i, j) in enumerate((i, j) for i in range(S.WIDE) for j in range(i))]
+    assert not S.wide_fingerprint(None, 5).any() and S.wide_fingerprint(b"A b", 5).tolist() == S.wide_fingerprint(b"a  B", 5).tolist()
