@@ -152,5 +152,31 @@ def test_toxicity_folds_and_learns(spark):
     got = {r.doc_id: r for r in out}
     assert all(got[k].predicted == y for k, y in labels)
     assert [got[k].score for k in (1000, 1001, 1002)] == [0, 0, 0] and got[None].predicted == 1
-    assert toxicity.Matcher({"trash ": 7.0}).score("in the trash can") == 0 and toxicity.Matcher({"trash ": 7.0}).score("you trash") > 0.3
+    m = toxicity.Matcher(toxicity.Lexicon({"trash ": 7.0}, ("trash can",)))
+    assert m.score("in the trash can") == 0 and m.score("you trash") > 0.3 and m.score("trash can, you trash") > 0.3
     assert toxicity.score_by_folds(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_learns_exceptions(spark):
+    """A listed word is excused in the company that it keeps in clean training rows, and only there."""
+    rng = random.Random(5)
+    plain = ["w%s" % (chr(97 + a) * 3) for a in range(26)]
+    rows, labels = [], []
+    for k in range(900):
+        ws = [rng.choice(plain) for _ in range(rng.randrange(5, 60))]
+        bad = k % 3 == 0
+        if bad:
+            ws[rng.randrange(len(ws))] = "grubber"
+        elif k % 90 == 1:
+            at = rng.randrange(len(ws))
+            ws[at : at + 1] = ["grubber", "fish"]
+        rows.append((k, " ".join(ws)))
+        labels.append((k, int(bad)))
+    # held-out rows repeat both kinds
+    docs = spark.createDataFrame(rows + [(5000, "wqqq grubber fish wrrr"), (5001, "wqqq grubber wrrr"), (5001, "wqqq grubber wrrr")], "doc_id long, text string")
+    from tidemark.llm.common import fold
+
+    lexicon = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), fold(F.col("id"), 4) != 2)
+    assert "grubber fish" in lexicon.exceptions and any("grubber".startswith(f.strip()) for f in lexicon.weights)
+    got = sorted((r.doc_id, r.predicted) for r in toxicity.scored(docs, lexicon).where("doc_id >= 5000").collect())
+    assert got == [(5000, 0), (5001, 1), (5001, 1)]

@@ -3,8 +3,9 @@
 Texts are folded first: letters that look alike and digits that stand for letters become one
 plain letter each, all else becomes a space. Lexicon entries are words and beginnings of words
 whose share among toxic training rows is far above that among the others; their weight is the
-log of that ratio. A score is the weight of what matches, less what exception phrases excuse,
-normalised by the length of the text.
+log of that ratio. Exception phrases are learned from the same rows: pairs of words with a listed
+one that stand in clean rows nearly always. A score is the weight of what matches, less what
+exception phrases excuse, normalised by the length of the text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
 from .common import fold as crc_fold
 
 # Characters that look like a Latin letter, with that letter; digits that stand for one.
@@ -28,8 +31,6 @@ LOOKALIKES = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ß": "s", "ø": "o", "đ": "d", "ł": "l", "æ": "a", "œ": "o",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-# Phrases in which an otherwise listed word is harmless.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash collection", "clown fish", "class clown", "stupid easy", "sore loser")
 
 _table: list[np.ndarray] = []
 
@@ -105,23 +106,50 @@ def _contexts(rows: DataFrame, listed: frozenset[str]) -> dict[str, int]:
     return {r.feature: r.n for r in got.collect()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", candidates: int = 20_000, entries: int = 4_000, sample_rows: int = 50_000) -> dict[str, float]:
-    """Lexicon: feature to weight, fitted on about `sample_rows` labelled rows at most, by a hash of the id.
+class Lexicon(NamedTuple):
+    """weights: of words (with a space at their end) and beginnings; exceptions: pairs of words that excuse what they hold."""
 
-    The labels of the sample are as many as that parameter says and go to every task, so texts aren't shuffled.
-    Rows with a null id or label teach nothing; an id with several labels counts as toxic if one says so.
+    weights: dict[str, float]
+    exceptions: tuple[str, ...]
+
+
+def _phrases(rows: DataFrame, listed: frozenset[str]) -> DataFrame:
+    """(phrase, toxic, clean): rows of each kind that hold a pair of neighbouring words of which one is listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count: Counter = Counter()
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = folded(t).split()
+                on = [k for k, w in enumerate(ws) if features({w}) & listed]
+                count.update({(f"{ws[i]} {ws[i + 1]}", y == 1) for k in on for i in (k - 1, k) if 0 <= i < len(ws) - 1})
+            keys = list(count)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.bool_()), pa.array([count[k] for k in keys], pa.int64())], ["phrase", "bad", "n"])
+
+    got = rows.select("t", "y").mapInArrow(run, "phrase string, bad boolean, n long")
+    return got.groupBy("phrase").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("clean"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 50_000, ratio: float = 30.0, evidence: float = 14.0) -> Lexicon:
+    """A lexicon fitted on about `sample_rows` labelled rows at most, by a hash of the id.
+
+    The labels of the sample are as many as that parameter says and go to every task, so texts
+    aren't shuffled; its texts are written once. Rows with a null id or label teach nothing; an id
+    with several labels counts as toxic if one says so. An entry is at least `ratio` times as
+    frequent in toxic rows as in the others, and its evidence (log likelihood) is at least
+    `evidence`, over rows and over the different words that it follows. A phrase is an exception
+    if it stands in three clean rows or more and in a tenth as many toxic ones at most.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     y = y.where(train)
     share = sample_rows / max(y.count(), 1)
     y = y.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(share, 1.0) * (1 << 20)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(y), "id")
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(y), "id").select("t", "y"))
     toxic, clean = rows.where("y = 1"), rows.where("y <> 1")
-    seen = _count(toxic, None).where("n >= 3").orderBy(F.desc("n"), "feature").limit(candidates + 1).collect()
-    bad = {r.feature: r.n for r in seen}
+    bad = {r.feature: r.n for r in _count(toxic, None).where("n >= 3").collect()}
     t = bad.pop("", 0)
     if not bad:
-        return {}
+        return Lexicon({}, ())
     good = {r.feature: r.n for r in _count(clean, frozenset(bad)).collect()}
     n = good.pop("", 0)
     share = t / max(t + n, 1)
@@ -130,9 +158,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
         c = good.get(f, 0)
         w = math.log((k + 0.5) / (t + 1)) - math.log((c + 0.5) / (n + 1))
         gain = k * math.log(k / ((k + c) * share)) + (c * math.log(c / ((k + c) * (1 - share))) if c and share < 1 else 0)
-        if w >= math.log(30) and gain >= 14:
+        if w >= math.log(ratio) and gain >= evidence:
             out[f] = min(w, 7.0)
-    out = {f: w for f, w in out.items() if contexts[f] * math.log(1 / share) >= 14} if (contexts := _contexts(toxic, frozenset(out))) else {}
+    out = {f: w for f, w in out.items() if contexts[f] * math.log(1 / share) >= evidence} if (contexts := _contexts(toxic, frozenset(out))) else {}
     # of beginnings of one another that mark nearly the same toxic rows, the longest stays
     longer: dict[str, str] = {}
     for f in sorted(out, key=len):
@@ -142,18 +170,19 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     out = {f: w for f, w in out.items() if f not in longer}
     # and an entry adds nothing where a shorter beginning of it is as sure
     keep = {f: w for f, w in out.items() if not any(out.get(f[:k], -1) >= w - 0.5 for k in range(4, len(f)))}
-    return dict(sorted(keep.items(), key=lambda x: (-x[1], x[0]))[:entries])
+    found = _phrases(rows, frozenset(keep)).where("clean >= 3 and toxic * 10 <= clean").select("phrase").collect() if keep else []
+    return Lexicon(dict(sorted(keep.items(), key=lambda x: (-x[1], x[0]))), tuple(sorted(r.phrase for r in found)))
 
 
 class Matcher:
-    def __init__(self, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> None:
+    def __init__(self, lexicon: Lexicon) -> None:
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
-        for f, w in lexicon.items():
+        for f, w in lexicon.weights.items():
             self.auto.add_word(f" {f}", (len(f) + 1, w))
-        for p in exceptions:
-            q = f" {folded(p).strip()} "
+        for p in lexicon.exceptions:
+            q = f" {p} "
             self.auto.add_word(q, (len(q), None))
         self.any = len(self.auto) > 0
         if self.any:
@@ -179,10 +208,12 @@ class Matcher:
         return w / (w + 1 + math.log1p(f.count(" ") / 50))
 
 
-def scored(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", threshold: float = 0.3, score_col: str = "score", pred_col: str = "predicted") -> DataFrame:
+def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3, score_col: str = "score", pred_col: str = "predicted") -> DataFrame:
     """docs with score (0 to 1; 0 for null and blank texts) and predicted (1 if score >= threshold).
 
-    All columns and rows pass through; columns of docs named like the two new ones are an error.
+    All columns and rows pass through, repeated rows with equal scores; texts are scored whole,
+    whatever their length; an empty table gives an empty result; columns of docs named like the
+    two new ones are an error.
     """
     if {score_col, pred_col} & set(docs.columns):
         raise ValueError(f"docs already has {score_col} or {pred_col}")
