@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_mark, cut, marks
 from .native import let, row_key, running
 
 
@@ -144,7 +145,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("row", row_key(F.col("id"), F.col("text")))
     of = candidates(postings(docs, indexed, id_col, text_col), indexed)
-    joined = rows.join(of, "row", "left")
+    # texts of rows without a candidate aren't shuffled; a row that shares a slot of the marks is only looked at once more
+    of = cut(of)
+    marked = marks(of, "row")
+    joined = by_mark(rows, "row", marked, False).withColumn("kinds", F.lit(None).cast(of.schema["kinds"].dataType)).union(by_mark(rows, "row", marked, True).join(of, "row", "left").select("id", "text", "row", "kinds"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for k, r in enumerate(rules):
