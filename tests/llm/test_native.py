@@ -159,3 +159,9 @@ def test_reworded_items_are_found(spark):
     assert got == brute_leaks(docs, items + short)
     assert sum((k, k) in got for k in range(200)) >= 0.9 * 200
     assert {(1000, 1000), (1001, 1001), (1003, 1003), (1004, 1002)} <= set(got) and not {(1002, 1000), (1002, 1001), (1005, 1003)} & set(got)
+
+
+def test_a_very_long_turn(spark):
+    rows = [(1, 0, "user", "long " * 200_000), (1, 1, "assistant", "b"), (2, 0, "user", "long " * 200_000), (3, 0, "user", "long " * 199_999), (3, 0, "user", "long " * 199_999)]
+    got = {r.conv_id: (r.n_turns, len(r.chat)) for r in chats.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {1, 3} and got[1][0] == got[3][0] == 2 and got[1][1] > 1_000_000

@@ -180,3 +180,21 @@ def test_toxicity_learns_exceptions(spark):
     assert "grubber fish" in lexicon.exceptions and any("grubber".startswith(f.strip()) for f in lexicon.weights)
     got = sorted((r.doc_id, r.predicted) for r in toxicity.scored(docs, lexicon).where("doc_id >= 5000").collect())
     assert got == [(5000, 0), (5001, 1), (5001, 1)]
+
+
+def test_language_rejects_what_is_far_from_all(spark):
+    rng = random.Random(3)
+    stems = {"en": ["the", "and", "ing", "tion"], "de": ["der", "ung", "sch", "ein"]}
+    rows = [(k, " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(40)), lang) for k in range(300) for lang in [rng.choice(list(stems))]]
+    usual = next(t for _, t, lang in rows if lang == "en")
+    odd = [(900, "zzyzx qoph wux vyx " * 10, None), (901, usual, None), (901, usual, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.rejected, r.lang_pred) for r in language.identify_by_folds(df).collect()]
+    assert [r[1] for r in got if r[0] == 900] == [True] and [r[1:] for r in got if r[0] == 901] == [(False, "en")] * 2
+    assert sum(r[1] for r in got if r[0] < 300) <= 9
+
+
+def test_repeated_rows_have_equal_results(spark):
+    df = spark.createDataFrame([(7, "Released under the MIT License. " * 3), (7, "Released under the MIT License. " * 3), (None, None), (None, None)], "doc_id long, text string")
+    got = [tuple(r) for r in licenses.scan(df).collect()]
+    assert len(got) == 4 and len(set(got)) == 2 and sum(r[2] for r in got) == 6
