@@ -268,11 +268,13 @@ def _texts(docs: DataFrame, marked: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.frombuffer(marked, np.uint64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            name = np.frombuffer(b"".join(map(_name, texts)), ">i8").astype(np.int64).reshape(-1, 2)[:, 0]
+            # one text at a time
+            name = np.frombuffer(b"".join(_name(t.as_py()) for t in b.column(0)), ">i8").astype(np.int64).reshape(-1, 2)[:, 0]
             slot = name % SLOTS
             hit = np.flatnonzero((on[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(name[hit]), pa.array([texts[k] for k in hit], pa.binary())], ["name", "t"])
+            for at in range(0, len(hit), 256):
+                some = hit[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(name[some]), b.column(0).take(pa.array(some))], ["name", "t"])
 
     return docs.select("t").mapInArrow(run, "name long, t binary")
 
@@ -285,14 +287,14 @@ def _jaccard(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
         for b in batches:
             a, on = b.column(0).to_pylist(), []
             for k in range(b.num_rows):
-                # a representative stands in many pairs, one after another
+                # a representative stands in many pairs, mostly one after another
                 x = last[1] if last[1] and last[0] == a[k] else shingles(b.column(2)[k].as_py().lower().split(), shingle)
                 last = (a[k], x)
                 y = shingles(b.column(3)[k].as_py().lower().split(), shingle)
                 on.append(len(x & y) >= least * len(x | y))
             yield b.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
