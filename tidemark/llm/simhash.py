@@ -312,9 +312,8 @@ def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: i
     fps = [f"w{k}" for k in range(WORDS)]
     of = rows.where(F.size("keys") > 0)
     keyed = of.where(" or ".join(f"{w} <> 0" for w in fps)).select("name", "w0", F.explode("keys").alias("key"))
-    rep = keyed.groupBy("key").agg(F.min("name").alias("rep"), F.min_by("w0", "name").alias("rep_w0"), F.max("name").alias("last")).where("rep <> last").drop("last")
-    # unlike texts differ in 32 of 64 bits, alike ones in 10
-    met = cut(keyed.join(rep, "key").where("name <> rep").select("key", "name", "w0", "rep", "rep_w0"))
+    shared = keyed.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("last")).where("least <> last").select("key")
+    met = cut(keyed.join(shared, "key"))
     prints = of.groupBy("name").agg(*[F.min(w).alias(w) for w in fps])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -329,19 +328,25 @@ def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: i
         text = lambda c: some.select(F.col("name").alias(c), F.col("t").alias(f"t{c}"))
         return cut(_jaccard(p.join(text("b"), "b").join(text("a"), "a"), shingle, least))
 
-    star = verified(met.where(_differing("w0", "rep_w0") <= NEAR).select(F.col("rep").alias("a"), F.col("name").alias("b")))
+    def rooted(edges: DataFrame) -> DataFrame:
+        return met.join(components(edges, "a", "b").withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+
     # fingerprints at few bits
     few = of.groupBy("fp").agg(F.count("*").alias("n"), F.min("name").alias("least"))
     group = of.select("name", "fp").join(components(links(few, bits)).withColumnRenamed("node", "fp"), "fp", "left").select("name", F.coalesce("root", "fp").alias("group"))
-    star = cut(star.union(group.join(group.groupBy("group").agg(F.min("name").alias("least")), "group").select("least", "name").where("least <> name").distinct()))
-    roots = components(star, "a", "b")
-    label = lambda df, c, name: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    named = label(label(met, "name", "root"), "rep", "rep_root")
-    x = named.where("root <> rep_root").select("key", F.col("name").alias("x"), F.col("w0").alias("x0"), F.col("root").alias("rx"))
-    y = named.select("key", F.col("name").alias("y"), F.col("w0").alias("y0"), F.col("root").alias("ry"), "rep_root")
-    both = x.join(y, "key").where(F.expr("rx <> ry and (ry = rep_root or rx < ry)") & (_differing("x0", "y0") <= NEAR))
-    more = verified(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    linked = components(star.union(more), "a", "b").withColumnRenamed("node", "name")
+    edges = cut(group.join(group.groupBy("group").agg(F.min("name").alias("least")), "group").select(F.col("least").alias("a"), F.col("name").alias("b")).where("a <> b").distinct())
+    # each text with one representative of a key, by three orders; only texts that none of them connects meet one another.
+    # unlike texts differ in 32 of 64 bits, alike ones in 10
+    for order in (F.col("name"), -F.col("name"), F.xxhash64("name")):
+        named = rooted(edges)
+        rep = named.groupBy("key").agg(F.min_by(F.struct("name", "w0", "root"), order).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "top")
+        near = named.join(rep, "key").withColumn("top_w0", F.col("top.w0")).where((F.col("root") != F.col("top.root")) & (_differing("w0", "top_w0") <= NEAR))
+        edges = cut(edges.union(verified(near.select(F.col("top.name").alias("a"), F.col("name").alias("b")))))
+    named = rooted(edges)
+    side = lambda c: named.select("key", F.col("name").alias(c), F.col("w0").alias(f"w0_{c}"), F.col("root").alias(f"root_{c}"))
+    rest = side("a").join(side("b"), "key").where((F.col("root_a") < F.col("root_b")) & (_differing("w0_a", "w0_b") <= NEAR))
+    edges = edges.union(verified(rest.select("a", "b")))
+    linked = components(edges, "a", "b").withColumnRenamed("node", "name")
     linked = linked.union(linked.select("root", "root").distinct())
     # texts that nothing else is linked to are told apart by all 128 bits
     out = rows.select("row", "name", "check").join(linked, "name", "left")
