@@ -146,12 +146,15 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     y = y.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(share, 1.0) * (1 << 20)))
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(y), "id").select("t", "y"))
     toxic, clean = rows.where("y = 1"), rows.where("y <> 1")
-    bad = {r.feature: r.n for r in _count(toxic, None).where("n >= 3").collect()}
-    t = bad.pop("", 0)
+    t, n = (r.n for r in rows.agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") != 1).alias("n")).select(F.explode(F.array("t", "n")).alias("n")).collect())
+    if not t:
+        return Lexicon({}, ())
+    # a feature of fewer toxic rows can't have the evidence even if no clean row holds it
+    fewest = max(3, math.ceil(evidence / max(-math.log(t / (t + n)), 1e-9))) if n else 3
+    bad = {r.feature: r.n for r in _count(toxic, None).where(F.col("n") >= fewest).where("feature <> ''").collect()}
     if not bad:
         return Lexicon({}, ())
     good = {r.feature: r.n for r in _count(clean, frozenset(bad)).collect()}
-    n = good.pop("", 0)
     share = t / max(t + n, 1)
     out = {}
     for f, k in bad.items():
