@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, images, language, licenses, linededup, secrets, sentencepieces, simhash, toxicity
+from . import chats, decontaminate, images, language, licenses, linededup, mixing, secrets, sentencepieces, simhash, toxicity, turntrie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of `embeddings` drawn as pictures: the tables hold no other images."""
     return images.copies(images.drawn(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations in which each begins with up to three turns of the first of its twenty."""
+    seqs = turntrie.sequences(table(spark, sf_dir, "conversations"))
+    share = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return turntrie.trie(turntrie.regrown(seqs, 20, 3, share)).drop(*turntrie.KEY)
+
+
+ORACLES["op12_prefix_trie"] = turntrie.TRIE_SQL
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_mix"] = mixing.TAKEN_SQL
