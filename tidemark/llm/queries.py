@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, images, language, licenses, linededup, mixing, secrets, sentencepieces, simhash, toxicity, turntrie
+from . import chats, decontaminate, images, language, licenses, linededup, mixing, secrets, sentencepieces, simhash, spelling, toxicity, turntrie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,14 @@ def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.copies(images.drawn(table(spark, sf_dir, "embeddings")))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_spelling_variants"] = spelling.VARIANTS_SQL
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of conversations in which each begins with up to three turns of the first of its twenty."""

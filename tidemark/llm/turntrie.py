@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import CRC_SQL, crc_sql, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 WIDTH = 8  # columns that are sorted at once, and by which conversations are dealt out
@@ -255,17 +255,11 @@ def trie(seqs: DataFrame, shards: int | None = None) -> DataFrame:
     return both.union(below).union(alone.where("parent1 is null").select(*cols))
 
 
-def _crc(bytes_of: str) -> str:
-    """crc32 of a list of bytes in DuckDB; needs the table crc."""
-    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bytes_of}), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295::bigint)"
-
-
-CRC_SQL = "crc as (select list(c order by i) as t from (select i, list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) as c from range(256) r(i)))"
 TRIE_SQL = rf"""
 with {CRC_SQL},
 t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) as said from conversations where conv_id is not null),
 g as (select c, list(said order by pos) as own from t group by c),
-s as (select c, own, {_crc("list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)")} % 4 as h from g, crc),
+s as (select c, own, {crc_sql("list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)")} % 4 as h from g, crc),
 f as (select s.c, list_concat(coalesce(b.own, [])[1:s.h], s.own[s.h + 1:]) as seq from s left join s b on b.c = s.c - s.c % 20),
 p as (select c, seq[1:d] as node, d, len(seq) = d as ended from f, (select unnest(range(0, (select max(len(seq)) + 1 from f))) as d) where d <= len(seq)),
 n as (select node, d, count(*) as n, min(c) as c, string_agg(c::varchar, ',' order by c) filter (ended) as ends, (count(*) - 1) * case when d = 0 then 0 else len(regexp_extract_all(node[d].t, '[^\x20\x09-\x0D]+')) end as saved from p group by node, d),
