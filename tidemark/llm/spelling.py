@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import CRC_SQL, crc_sql, cut
 
 LEAST, OFTEN = 7, 2  # code points and occurrences of a word
-SAMPLE = 1 << 16  # words that the upper trees are fitted on
+SAMPLE = 1 << 16  # words, about, that the upper trees are fitted on
 CELL, FEWEST = 8192, 16  # words of a cell at most, where the sample has FEWEST or more of its words
 LEAF = 32
 GROUP = 1 << 16  # words and searches that meet in a task at once; long words count more
@@ -133,8 +133,8 @@ ONE = {"lo": np.zeros(1, np.uint64), "hi": ~np.zeros(1, np.uint64), "kids": [(-1
 
 
 def fit(vocab: DataFrame, words: int) -> dict[int, dict]:
-    """The upper tree of each length, fitted on SAMPLE words at most (those of the smallest hashes): 16 bytes each come to the driver. Lengths that the sample lacks have one cell."""
-    got = vocab.select("length", "sig", F.xxhash64("word").alias("h")).orderBy("h", "length", "sig").limit(SAMPLE).toPandas()
+    """The upper tree of each length, fitted on about SAMPLE words, by a hash of the word, however many there are: 12 bytes each come to the driver. Lengths that the sample lacks have one cell."""
+    got = vocab.where(F.pmod(F.xxhash64("word"), F.lit(max(words, 1))) < SAMPLE).select("length", "sig").toPandas()
     leaf = max(FEWEST, CELL * len(got) // max(words, 1))
     trees = {int(n): grow(g["sig"].to_numpy().view(np.uint64), leaf, False) for n, g in got.groupby("length")}
     return {n: {k: v for k, v in t.items() if k != "members"} for n, t in trees.items()}
