@@ -134,13 +134,14 @@ def audit_hash(cols: list[str], previous: Column | None = None) -> Column:
 
 
 def audit_verify(log: DataFrame, tenant: str, order: list[str], cols: list[str]) -> DataFrame:
-    """(tenant, valid, checked): checked counts the rows before the first break. Each row must link to the one before; rows that were anonymised skip the recomputation."""
+    """(tenant, valid, checked): checked counts the rows before the first break whose hash was verified. Each row must link to the one before; rows that were anonymised skip the recomputation, and aren't counted."""
     w = Window.partitionBy(tenant).orderBy(*order)
     link = F.coalesce(F.col("previous_hash"), F.lit("")) == F.coalesce(F.lag("entry_hash").over(w), F.lit(""))
     own = F.col("is_anonymized") | (F.col("entry_hash") == audit_hash(cols, F.col("previous_hash")))
-    rows = log.withColumn("ok", link & own).withColumn("at", F.row_number().over(w))
-    g = rows.groupBy(tenant).agg(F.min(F.when(~F.col("ok"), F.col("at"))).alias("broken"), F.count("*").alias("n"))
-    return g.select(tenant, F.col("broken").isNull().alias("valid"), F.coalesce(F.col("broken") - 1, F.col("n")).alias("checked"))
+    upto = F.count_if(~F.col("is_anonymized")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = log.withColumn("ok", link & own).withColumn("at", F.row_number().over(w)).withColumn("before", upto - F.when(F.col("is_anonymized"), 0).otherwise(1))
+    g = rows.groupBy(tenant).agg(F.min(F.when(~F.col("ok"), F.struct("at", "before"))).alias("broken"), F.count_if(~F.col("is_anonymized")).alias("n"))
+    return g.select(tenant, F.col("broken").isNull().alias("valid"), F.coalesce("broken.before", "n").alias("checked"))
 
 
 def audit_chain(df: DataFrame, tenant: str, order: list[str], cols: list[str]) -> DataFrame:

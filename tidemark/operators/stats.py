@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import cut
 from .select import latest, top_n
 
 
@@ -31,27 +32,68 @@ def cost_anomaly(hist: DataFrame, key: str, value: str, order: list[Column]) ->
         F.when(odd, F.when(F.col("z") > 0, "spike").otherwise("drop")).alias("kind"), F.when(odd, severity).alias("severity")).orderBy(grave, F.abs("z").desc(), key)
 
 
-def ewma_forecast(hist: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.3, runs_per_day: float = 1.0, most: int = 500) -> DataFrame:
-    """Exponentially weighted forecast of each key over its newest `most` points, folded in one pass over their array.
+def ewma_forecast(hist: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.3, runs_per_day: float = 1.0, size: int = 4096) -> DataFrame:
+    """Exponentially weighted forecast of each key over its whole history; null values don't count.
 
-    One point gives a margin of half the 7-day forecast. The trend is the relative slope of the smoothed values against 5 %.
+    One point gives a margin of half the 7-day forecast. The trend is the relative slope of the
+    smoothed values against 5 %. smoothed() says how a history is split over tasks.
     """
-    recent = top_n(hist, [key], [F.col(c).desc() for c in order], most)
-    points = recent.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.col(value).alias("v")))), lambda p: p["v"].cast("double")).alias("x"))
-    zero = F.struct(F.element_at("x", 1).alias("s"), F.element_at("x", 1).alias("sum_s"), F.lit(0.0).alias("e"), F.lit(0.0).alias("e2"))
+    f = smoothed(hist, key, value, order, alpha, size)
+    m = F.col("n") - 1
+    sd = F.when(m > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("e2") / m - (F.col("e") / m) * (F.col("e") / m))))
+    week = F.col("s") * runs_per_day * 7
+    margin = F.when(m > 0, 1.96 * sd * F.sqrt(F.lit(7.0)) * runs_per_day).otherwise(week * 0.5)
+    slope = F.when((m > 0) & (F.col("sum_s") != 0), (F.col("s") - F.col("first")) / m / (F.col("sum_s") / F.col("n"))).otherwise(0.0)
+    trend = F.when(slope > 0.05, "increasing").when(slope < -0.05, "decreasing").otherwise("stable")
+    return f.select(key, F.round("s", 4).alias("forecast"), F.round(week, 4).alias("next_7d"), F.round(F.col("s") * runs_per_day * 30, 4).alias("next_30d"), F.round(F.greatest(F.lit(0.0), week - margin), 4).alias("lower"), F.round(week + margin, 4).alias("upper"), trend.alias("trend"))
+
+
+def smoothed(hist: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.3, size: int = 4096, fan: int = 256) -> DataFrame:
+    """(key, n, first, s, sum_s, e, e2) of s[0] = x[0], s[i] = alpha x[i] + (1 - alpha) s[i - 1]: the last s, the sum of all, and the sums of |x[i] - s[i - 1]| and its square.
+
+    Rows are sorted into ranges of key and order, and each key's stretch of a range is cut into
+    blocks of `size` points. A block takes the s before it to the s behind it by a line, a s + b,
+    whatever stands before it; composing these lines in groups of `fan`, and groups of groups, gives the s
+    that each block begins with. So no key's history is one array or passes one task.
+    """
+    o = [f"o{k}" for k in range(len(order))]
+    rows = hist.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), *[F.col(c).alias(n) for c, n in zip(order, o, strict=True)], F.col(value).cast("double").alias("v"))
+    rows = rows.repartitionByRange("key", *o, "v").withColumn("range", F.spark_partition_id())
+    chunk = F.floor((F.row_number().over(Window.partitionBy("key", "range").orderBy(*o, "v")) - 1) / size)
+    points = F.array_sort(F.collect_list(F.struct(*o, "v")))
+    blocks = cut(rows.withColumn("chunk", chunk).groupBy("key", "range", "chunk").agg(F.transform(points, lambda p: p["v"]).alias("x")))
+    name = ["range", "chunk"]
+    line = F.aggregate("x", F.lit(0.0), lambda s, v: alpha * v + (1 - alpha) * s)
+    maps = blocks.select("key", *name, (F.row_number().over(Window.partitionBy("key").orderBy(*name)) - 1).cast("long").alias("i"), F.pow(F.lit(1 - alpha), F.size("x")).alias("a"), line.alias("b"), F.element_at("x", 1).alias("first"))
+    maps = cut(maps)
+    first = maps.where("i = 0").select("key", F.col("first").alias("x0"))
+    most = maps.agg(F.max("i")).first()[0] or 0
+    starts = _same(_same(maps.select("key", *name, "i"), _before(maps.select("key", "i", "a", "b"), most, fan), ["key", "i"]), first, ["key"])
+    starts = starts.select("key", *name, "i", "x0", (F.col("a") * F.col("x0") + F.col("b")).alias("s0"))
 
     def step(a: Column, v: Column) -> Column:
         s, err = alpha * v + (1 - alpha) * a["s"], F.abs(v - a["s"])
         return F.struct(s.alias("s"), (a["sum_s"] + s).alias("sum_s"), (a["e"] + err).alias("e"), (a["e2"] + err * err).alias("e2"))
 
-    f = points.withColumn("n", F.size("x")).withColumn("a", F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), zero, step))
-    m = F.col("n") - 1
-    sd = F.when(m > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("a.e2") / m - (F.col("a.e") / m) * (F.col("a.e") / m))))
-    week = F.col("a.s") * runs_per_day * 7
-    margin = F.when(m > 0, 1.96 * sd * F.sqrt(F.lit(7.0)) * runs_per_day).otherwise(week * 0.5)
-    slope = F.when((m > 0) & (F.col("a.sum_s") != 0), (F.col("a.s") - F.element_at("x", 1)) / m / (F.col("a.sum_s") / F.col("n"))).otherwise(0.0)
-    trend = F.when(slope > 0.05, "increasing").when(slope < -0.05, "decreasing").otherwise("stable")
-    return f.select(key, F.round("a.s", 4).alias("forecast"), F.round(week, 4).alias("next_7d"), F.round(F.col("a.s") * runs_per_day * 30, 4).alias("next_30d"), F.round(F.greatest(F.lit(0.0), week - margin), 4).alias("lower"), F.round(week + margin, 4).alias("upper"), trend.alias("trend"))
+    # the first point is folded from itself: that changes nothing
+    zero = F.struct(F.col("s0").alias("s"), F.lit(0.0).alias("sum_s"), F.lit(0.0).alias("e"), F.lit(0.0).alias("e2"))
+    folded = _same(blocks, starts, ["key", *name]).select("key", "i", "x0", F.size("x").alias("n"), F.aggregate("x", zero, step).alias("f"))
+    out = folded.groupBy("key").agg(F.sum("n").alias("n"), F.first("x0").alias("first"), F.max_by("f.s", "i").alias("s"), *[F.sum(f"f.{c}").alias(c) for c in ("sum_s", "e", "e2")])
+    return out.withColumnRenamed("key", key)
+
+
+def _before(maps: DataFrame, most: int, fan: int) -> DataFrame:
+    """(key, i, a, b): the lines of all of a key's blocks before i, composed; maps (key, i, a, b), i from 0 to most."""
+    after = lambda x, y: F.struct((y["a"] * x["a"]).alias("a"), (y["a"] * x["b"] + y["b"]).alias("b"))
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    whole = lambda m: F.aggregate(m, none, after)
+    groups = maps.groupBy("key", F.floor(F.col("i") / fan).alias("g")).agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("m"))
+    inner = groups.select("key", "g", F.explode(F.transform("m", lambda x, j: F.struct(x["i"].alias("i"), whole(F.slice("m", F.lit(1), j)).alias("own")))).alias("r")).select("key", "g", "r.*")
+    if most < fan:
+        return inner.select("key", "i", "own.a", "own.b")
+    totals = cut(groups.select("key", F.col("g").alias("i"), whole(F.col("m")).alias("t")).select("key", "i", "t.*"))
+    outer = _before(totals, most // fan, fan).select("key", F.col("i").alias("g"), F.struct("a", "b").alias("from"))
+    return _same(inner, outer, ["key", "g"]).select("key", "i", after(F.col("from"), F.col("own")).alias("t")).select("key", "i", "t.*")
 
 
 def forecast_total(f: DataFrame) -> DataFrame:

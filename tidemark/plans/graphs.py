@@ -41,22 +41,44 @@ def graph_cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return G.cyclic_nodes(fx.edges(spark, sf).union(back))
 
 
+CYCLES = "with recursive e as (select src, dst from v_edges union select dst, src from v_edges where dst % 7 = 0 and src > 3 union all select 5, 5), r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on e.src = r.b) "
+
+
+@query(CYCLES + "select least(x.a, min(x.b)) as component, x.a as node from r x join r y on y.a = x.b and y.b = x.a group by x.a")
+def graph_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the dependencies when every seventh node's edges also lead back, and node 5 depends on itself."""
+    e = fx.edges(spark, sf)
+    back = e.where("dst % 7 = 0 and src > 3").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.cycles(e.union(back).union(spark.createDataFrame([(5, 5)], "src long, dst long")))
+
+
+@query(REACH.format(seeds=ALL) + "select * from c")
+def graph_reach_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that depends on each node."""
+    return G.closure_all(fx.edges(spark, sf))
+
+
 @query(REACH.format(seeds=SEED(10, 11, 250)) + ", n as (select node, min(seed) filter (depth = 1) as parent, min(seed) as ancestor from c group by 1) select coalesce(n.node, o.node) as node, coalesce(own, 'downstream of ' || coalesce(parent, ancestor)) as reason from n full join (select 10 as node, 'changed' as own union all select 11, 'changed' union all select 250, 'new') o on o.node = n.node")
 def graph_affected(spark: SparkSession, sf: str) -> DataFrame:
     return G.affected(fx.edges(spark, sf), _seeds(spark, 10, 11).withColumnRenamed("seed", "node"), _seeds(spark, 250).withColumnRenamed("seed", "node"))
 
 
-CHANGES = [(5, "c2", "REMOVE", False), (7, "c1", "TYPE_CHANGE", True), (7, "c0", "ADD", True)]
+CHANGES = [(5, "C2", "REMOVE", None, None, None), (7, "c1", "TYPE_CHANGE", "Integer", "bigint", None), (7, "c0", "ADD", None, None, None), (9, "c2", "TYPE_CHANGE", "string", "varchar", None), (11, "c0", "RENAME", None, None, "c1"), (12, "c1", "TYPE_CHANGE", "DATE", "timestamp", None)]
+PROMISED = ["BIGINT", "INT", "DOUBLE"]
 
 
-@query(REACH.format(seeds=SEED(5, 7)) + f""", ch as (select * from {fx.values(CHANGES, '"table", "column", kind, compatible')}), refs as (select "table" as node, t as tbl, col from v_lineage, (select unnest([5, 7]) as t), (select unnest(['c0', 'c1', 'c2']) as col) where ("table" + t + ascii(col[2])) % 2 = 0),
-  u as (select c.node, depth, ch."column" as col, kind, compatible, c.node % 7 = 0 and ch."column" = 'c2' as promised from c join ch on ch."table" = seed join refs on refs.node = c.node and refs.tbl = ch."table" and refs.col = ch."column")
-  select node, min(depth) as depth, list_sort(list(distinct col)) as columns, case max(case when promised or kind = 'REMOVE' or kind = 'TYPE_CHANGE' and not compatible then 2 when kind = 'TYPE_CHANGE' then 1 else 0 end) when 2 then 'BREAKING' when 1 then 'WARNING' else 'INFO' end as severity from u group by 1""")
+@query(REACH.format(seeds=SEED(5, 7, 9, 11, 12)) + f""", ch as (select "table" as t, lower("column") as col, kind, case when kind = 'REMOVE' or kind = 'RENAME' or "column" = 'c2' then 2 when kind = 'TYPE_CHANGE' then 1 else 0 end as r, new_type, new_name from {fx.values(CHANGES, '"table", "column", kind, old_type, new_type, new_name')}),
+  nm as (select t, col, r from ch union all select t, new_name, r from ch where new_name is not null),
+  u as (select c.node, max(r) as r, list_sort(list(distinct nm.col)) as columns from c join nm on nm.t = seed where (c.node + nm.t + ascii(nm.col[2])) % 2 = 0 group by 1),
+  w as (select c.node, case when kind = 'REMOVE' then 'COLUMN_REMOVED' when kind = 'RENAME' then 'COLUMN_RENAMED' when kind = 'TYPE_CHANGE' and not (upper(new_type) = 'BIGINT' and c.node % 3 < 2) then 'TYPE_CHANGED' end as what, ch.col from c join ch on ch.t = seed where c.node % 7 < 3 and ch.col = 'c' || (c.node % 7)),
+  v as (select node, list_sort(list(distinct col || ' ' || what)) as violations from w where what is not null group by 1), g as (select node, min(depth) as depth from c group by 1)
+  select g.node, g.depth, coalesce(columns, []) as columns, coalesce(violations, []) as violations, case when violations is not null or r = 2 then 'BREAKING' when r = 1 then 'WARNING' else 'INFO' end as severity from g left join u using (node) left join v using (node)""")
 def impact_column_change(spark: SparkSession, sf: str) -> DataFrame:
-    changes = spark.createDataFrame(CHANGES, "table long, column string, kind string, compatible boolean")
+    """Six changes; nodes read columns by a rule and promise one of three with one of three types."""
+    changes = spark.createDataFrame(CHANGES, "table long, column string, kind string, old_type string, new_type string, new_name string")
     nodes = fx.lineage(spark, sf).select(F.col("table").alias("node")).distinct()
-    refs = nodes.withColumn("table", F.explode(F.array(F.lit(5), F.lit(7)).cast("array<long>"))).withColumn("column", F.explode(F.array(F.lit("c0"), F.lit("c1"), F.lit("c2")))).where("(node + table + ascii(substring(column, 2, 1))) % 2 = 0")
-    contracts = nodes.where("node % 7 = 0").select("node", F.lit("c2").alias("column"))
+    refs = nodes.withColumn("table", F.explode(F.array(*map(F.lit, (5, 7, 9, 11, 12))).cast("array<long>"))).withColumn("column", F.explode(F.array(F.lit("c0"), F.lit("c1"), F.lit("c2")))).where("(node + table + ascii(substring(column, 2, 1))) % 2 = 0")
+    contracts = nodes.where("node % 7 < 3").select("node", F.concat(F.lit("C"), (F.col("node") % 7).cast("string")).alias("column"), F.element_at(F.array(*map(F.lit, PROMISED)), (F.col("node") % 3 + 1).cast("int")).alias("data_type"))
     return G.impact(fx.edges(spark, sf), refs, contracts, changes)
 
 
@@ -65,8 +87,9 @@ def impact_removal(spark: SparkSession, sf: str) -> DataFrame:
     return G.removal(fx.edges(spark, sf), 6)
 
 
-@query("""with recursive r(t, c, depth) as (select source_table, source_column, 1 from v_lineage where "table" = 300 and "column" = 'c0' union select l.source_table, l.source_column, depth + 1 from r join v_lineage l on l."table" = t and l."column" = c)
-  select t::varchar as "table", c as "column", min(depth) as depth, t not in (select "table" from v_lineage) as terminal from r group by t, c""")
+@query("""with recursive l as (select "table"::varchar as t, "column" as c, source_table::varchar as st, source_column as sc, transform as x, case transform when 'direct' then 0 when 'cast' then 1 when 'expression' then 3 else 5 end as k from v_lineage),
+  r(t, c, depth, path, kinds, k) as (select st, sc, 1, [st || '.' || sc], [x], k from l where t = '300' and c = 'c0' union all select st, sc, depth + 1, list_append(path, st || '.' || sc), list_append(kinds, x), greatest(r.k, l.k) from r join l using (t, c))
+  select t as "table", c as "column", min(depth)::int as depth, t not in (select t from l) as terminal, arg_min(path, struct_pack(a := depth, b := path)) as path, arg_min(kinds, struct_pack(a := depth, b := path)) as transforms, arg_min(['direct', 'cast', '', 'expression', '', 'aggregate'][k + 1], struct_pack(a := depth, b := path)) as transform from r group by t, c""")
 def lineage_trace(spark: SparkSession, sf: str) -> DataFrame:
     return G.lineage_trace(fx.lineage(spark, sf), 300, "c0")
 
@@ -96,9 +119,9 @@ def edges_union(spark: SparkSession, sf: str) -> DataFrame:
 @query(REACH.format(seeds=ALL) + """, d as (select seed as node, max(depth) as depth, count(*) filter (node % 20 = 0) as sla, count(*) filter (node % 30 = 7) as dash, count(*) filter (node % 11 = 0) as crit from c group by 1), s as (select node, (p_size % 10) / 10 as p, least(1.5 * depth, 6) + case when sla > 0 then 3 else 0 end + case when dash > 0 then 2 else 0 end + case when (p_size % 10) / 10 > 0.05 then 1 else 0 end + 0.5 * crit as raw from d join part on p_partkey = node)
   select node, round(least(10, raw), 2)::double as score, least(10, raw) >= 3 as needs_approval, least(10, raw) >= 7 as critical from s""")
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
-    """0 to 10 from the depth and the tags of what lies downstream, and the node's own failure rate."""
+    """0 to 10 from the depth and the tags of what lies downstream, and the node's own failure rate. Needs all pairs of nodes that are connected."""
     p = _probabilities(spark, sf)
-    d = G.closure(fx.edges(spark, sf), p.select(F.col("node").alias("seed"))).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("depth"), F.count_if(F.col("node") % 20 == 0).alias("sla"), F.count_if(F.col("node") % 30 == 7).alias("dash"), F.count_if(F.col("node") % 11 == 0).alias("crit"))
+    d = G.closure_all(fx.edges(spark, sf)).join(p.select(F.col("node").alias("seed")), "seed", "left_semi").groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("depth"), F.count_if(F.col("node") % 20 == 0).alias("sla"), F.count_if(F.col("node") % 30 == 7).alias("dash"), F.count_if(F.col("node") % 11 == 0).alias("crit"))
     raw = F.least(1.5 * F.col("depth"), F.lit(6.0)) + F.when(F.col("sla") > 0, 3).otherwise(0) + F.when(F.col("dash") > 0, 2).otherwise(0) + F.when(F.col("p") > 0.05, 1).otherwise(0) + 0.5 * F.col("crit")
     return d.join(p, "node").withColumn("s", F.least(F.lit(10.0), raw)).select("node", F.round("s", 2).alias("score"), (F.col("s") >= 3).alias("needs_approval"), (F.col("s") >= 7).alias("critical"))
 
@@ -188,9 +211,9 @@ def audit_hash(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", P.audit_hash(["event_id", "user_id", "event_type", "metadata"]).alias("hash"))
 
 
-@query("select user_id, user_id <> 3 or count(*) < 25 as valid, case when user_id = 3 then least(24, count(*)) else count(*) end as checked from events group by 1")
+@query("select user_id, user_id <> 3 or count(*) < 25 as valid, case user_id when 3 then least(24, count(*)) when 4 then count(*) - (count(*) >= 10)::int else count(*) end as checked from events group by 1")
 def audit_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains of all events of each user; user 3's 25th row was altered, user 4's 10th anonymised."""
+    """Chains of all events of each user; user 3's 25th row was altered, user 4's 10th anonymised: that one isn't verified."""
     log = P.audit_chain(fx.events(spark, sf).select("user_id", "ts", "event_id", "event_type", "props"), "user_id", ["ts", "event_id"], ["event_type", "props"])
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     log = log.withColumn("at", at).withColumn("is_anonymized", (F.col("user_id") == 4) & (F.col("at") == 10))

@@ -22,9 +22,9 @@ def cost_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     return S.cost_anomaly(fx.events(spark, sf), "user_id", "value", [F.col("ts").desc(), F.col("event_id").desc()])
 
 
-FORECAST = """with recursive h as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as i from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn <= 500),
-  f as (select user_id, i, value::double as x0, value::double as s, value::double as sum_s, 0::double as e, 0::double as e2 from h where i = 1 union all select h.user_id, h.i, f.x0, 0.3 * h.value + 0.7 * f.s, f.sum_s + 0.3 * h.value + 0.7 * f.s, f.e + abs(h.value - f.s), f.e2 + abs(h.value - f.s) * abs(h.value - f.s) from f join h on h.user_id = f.user_id and h.i = f.i + 1),
-  l as (select * from f where (user_id, i) in (select user_id, max(i) from h group by 1)), m as (select *, i - 1 as m, case when i > 1 then 1.96 * sqrt(greatest(0, e2 / (i - 1) - (e / (i - 1)) * (e / (i - 1)))) * sqrt(7) else s * 3.5 end as margin, case when i > 1 and sum_s <> 0 then (s - x0) / (i - 1) / (sum_s / i) else 0 end as slope from l),
+FORECAST = """with h as (select user_id, list(value::double order by ts, event_id, value) as x from events where value is not null group by 1),
+  f as (select user_id, len(x) as n, x[1] as x0, list_reduce(list_transform(x, lambda v: struct_pack(v := v, s := v, sum_s := v, e := 0::double, e2 := 0::double)), lambda a, p: struct_pack(v := p.v, s := 0.3::double * p.v + 0.7::double * a.s, sum_s := a.sum_s + 0.3::double * p.v + 0.7::double * a.s, e := a.e + abs(p.v - a.s), e2 := a.e2 + (p.v - a.s) * (p.v - a.s))) as a from h),
+  m as (select user_id, a.s as s, case when n > 1 then 1.96 * sqrt(greatest(0, a.e2 / (n - 1) - (a.e / (n - 1)) * (a.e / (n - 1)))) * sqrt(7) else a.s * 3.5 end as margin, case when n > 1 and a.sum_s <> 0 then (a.s - x0) / (n - 1) / (a.sum_s / n) else 0 end as slope from f),
   out as (select user_id, round(s, 4) as forecast, round(s * 7, 4) as next_7d, round(s * 30, 4) as next_30d, round(greatest(0, s * 7 - margin), 4) as lower, round(s * 7 + margin, 4) as upper, case when slope > 0.05 then 'increasing' when slope < -0.05 then 'decreasing' else 'stable' end as trend from m) """
 
 
