@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLOTS, components, cut, marks
+from .common import SLOTS, apart, components, cut, marks
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -342,10 +342,8 @@ def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: i
         rep = named.groupBy("key").agg(F.min_by(F.struct("name", "w0", "root"), order).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "top")
         near = named.join(rep, "key").withColumn("top_w0", F.col("top.w0")).where((F.col("root") != F.col("top.root")) & (_differing("w0", "top_w0") <= NEAR))
         edges = cut(edges.union(verified(near.select(F.col("top.name").alias("a"), F.col("name").alias("b")))))
-    named = rooted(edges)
-    side = lambda c: named.select("key", F.col("name").alias(c), F.col("w0").alias(f"w0_{c}"), F.col("root").alias(f"root_{c}"))
-    rest = side("a").join(side("b"), "key").where((F.col("root_a") < F.col("root_b")) & (_differing("w0_a", "w0_b") <= NEAR))
-    edges = edges.union(verified(rest.select("a", "b")))
+    rest = apart(rooted(edges), ["name", "w0"]).where(_differing("x.w0", "y.w0") <= NEAR)
+    edges = edges.union(verified(rest.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))))
     linked = components(edges, "a", "b").withColumnRenamed("node", "name")
     linked = linked.union(linked.select("root", "root").distinct())
     # texts that nothing else is linked to are told apart by all 128 bits
