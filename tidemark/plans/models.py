@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from ..functions.scalar import safe_divide, value_tier
 from ..operators import materialize as M
 from ..operators.select import contains_ignoring_case, half_open, keyset_page, latest, offset_page
+from ..operators.versions import StoredTable
 from ..registry import query
 
 START, END = "1995-01-01", "2001-08-02"
@@ -240,3 +241,50 @@ def env_current_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return latest(p, ["env"], [F.col("promoted_at").desc(), F.col("snapshot_id").desc()])
 
 
+
+
+def _stored(spark: SparkSession, df: DataFrame) -> StoredTable:
+    """A stored table of orders in parts of 8,192 keys."""
+    t = StoredTable(spark, M.scratch(spark), ("o_orderkey",), F.concat(F.lit("k"), F.floor(F.col("o_orderkey") / 8192).cast("string")))
+    t.create(df)
+    return t
+
+
+LATE = "o_orderkey % 8192 < 4096"
+
+
+@query(f"select o_orderkey, o_custkey, o_orderstatus, coalesce(t.o_totalprice, b.o_totalprice) as o_totalprice from v_base b left join (select * from v_target where {LATE}) t using (o_orderkey, o_custkey, o_orderstatus) union all select * from v_target where {LATE} and o_orderkey not in (select o_orderkey from v_base)")
+def mat_merge_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders stored, then merged with some of their changes: prices of known ones, new ones whole."""
+    t = _stored(spark, fx.base(spark, sf))
+    t.merge(fx.target(spark, sf).where(LATE), update_cols=["o_totalprice"])
+    return t.read()
+
+
+@query("""with v as (select 1 as version, * from v_base union all select 2, o_orderkey, o_custkey, o_orderstatus, o_totalprice from v_target union all select 2, * from v_base where o_orderkey not in (select o_orderkey from v_target)),
+  g as (select version, count(*) as n, round(sum(o_totalprice), 2) as price from v group by 1)
+  select env, moment, n, price from g join (select * from (values ('dev', 'merged', 2), ('prod', 'merged', 1), ('prod', 'promoted', 2), ('prod', 'rolled back', 1)) as m(env, moment, version)) using (version)""")
+def env_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """What two environments read of one stored table: after a merge in dev, after its promotion, and after going back."""
+    t = _stored(spark, fx.base(spark, sf))
+    t.point("dev", 1)
+    t.point("prod", 1)
+    t.point("dev", t.merge(fx.target(spark, sf)).version)
+    seen = []
+
+    def see(env: str, moment: str) -> None:
+        seen.append(t.read(env=env).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price")).select(F.lit(env).alias("env"), F.lit(moment).alias("moment"), "n", "price"))
+
+    see("dev", "merged")
+    see("prod", "merged")
+    t.promote("dev", "prod")
+    see("prod", "promoted")
+    t.roll_back("prod")
+    see("prod", "rolled back")
+    return seen[0].union(seen[1]).union(seen[2]).union(seen[3])
+
+
+@query("select 'k' || (o_orderkey // 8192) as part, count(*) as n, min(o_orderkey) as low, max(o_orderkey) as high from v_base group by 1")
+def version_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of a stored table's version."""
+    return _stored(spark, fx.base(spark, sf)).manifest().select("part", F.col("rows").alias("n"), "low", "high")
