@@ -60,6 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, sorted; none where there is no folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def full_refresh(df: DataFrame, target: str) -> None:
     df.write.mode("overwrite").parquet(target)
 

@@ -152,22 +152,31 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     return _same(n, floor_ranks(df, keys, value, ranks), keys).select(*keys, *[(low(k) + (high(k) - low(k)) * (at(x) - F.floor(at(x)))).alias(k) for k, x in shares.items()])
 
 
-def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float | Callable[[Column], Column]], parts: int = 1024) -> DataFrame:
+def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float | Callable[[Column], Column]], small: int = 50_000, parts: int = 256) -> DataFrame:
     """keys and for each name of shares the value at rank int(n * share), at most the last, of the key's sorted values; nulls don't count. A share may be a function from n to the rank.
 
-    Equal values are counted first. Running counts go over `parts` ranges of a key's values, so
-    that no group is one array and a hot key is sorted in many tasks.
+    Keys of up to `small` values, by a count taken first, are sorted as one array each. Of others
+    equal values are counted, and running counts go over `parts` ranges of the values, cut at approximate
+    quantiles, so that ranges hold about as many values each whatever their distribution. Both
+    ways are exact.
     """
-    v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ends = v.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    at = F.try_divide((F.col("v") - F.col("low")).cast("double"), (F.col("high") - F.col("low")).cast("double")) * parts
-    ranged = _same(v, ends, keys).withColumn("part", F.when(F.col("high") == F.col("low"), 0).when(F.isnan(at), parts).otherwise(F.floor(at)).cast("long")).drop("low", "high")
+    rank = lambda share: F.least(share(F.col("n")) if callable(share) else F.floor(F.col("n") * share), F.col("n") - 1)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    large = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*keys, F.lit(True).alias("is large")))
+    arrays = lambda d: d.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("xs"), F.count("*").alias("n")).select(*keys, *[F.element_at("xs", (rank(x) + 1).cast("int")).alias(name) for name, x in shares.items()])
+    if large.isEmpty():
+        return arrays(rows)
+    v = _same(rows, large, keys)
+    few, many = v.where("`is large` is null").drop("is large"), v.where("`is large`").drop("is large")
+    v = cut(many.groupBy(*keys, "v").agg(F.count("*").alias("c")))
+    ends = v.groupBy(*keys).agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], F.lit(20 * parts)).alias("cuts"), F.sum("c").alias("n"))
+    ranged = _same(v, ends, keys).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
     sizes = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("size"))
     before = sizes.select(*keys, "part", (F.sum("size").over(Window.partitionBy(*keys).orderBy("part")) - F.col("size")).alias("before"))
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v"))
     run = _same(ranged, before, [*keys, "part"]).withColumn("upto", upto)
-    rank = lambda share: F.least(share(F.col("n")) if callable(share) else F.floor(F.col("n") * share), F.col("n") - 1)
-    return run.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(x)) & (F.col("upto") - F.col("c") <= rank(x)), F.col("v"))).alias(name) for name, x in shares.items()])
+    out = run.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(x)) & (F.col("upto") - F.col("c") <= rank(x)), F.col("v"))).alias(name) for name, x in shares.items()])
+    return arrays(few).union(out)
 
 
 def rollup(telemetry: DataFrame, unit: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .materialize import merge_by_key
+from .materialize import merge_by_key, names
 from .select import latest
 
 PART = "part_of_stored_table"
@@ -44,11 +44,6 @@ def _claim(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, p = _fs(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-
 def _text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
@@ -81,7 +76,7 @@ class StoredTable:
 
     def version(self) -> int:
         """The newest version, 0 if there is none."""
-        return max((int(n) for n in _names(self.spark, self._at("versions"))), default=0)
+        return max((int(n) for n in names(self.spark, self._at("versions"))), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """(part, folder, rows, low, high, nulls, digest): low and high are those of the first key, digest is a hash of all rows, whatever their order."""
@@ -147,7 +142,7 @@ class StoredTable:
         # names of folders are plain; parts that differ in other characters only are one
         part = F.regexp_replace(F.coalesce(self.part, F.lit("none")), "[^A-Za-z0-9_.-]", "_")
         df.withColumn(PART, part).hint("rebalance", PART).write.partitionBy(PART).parquet(self._at("data", name))
-        if not _names(self.spark, self._at("schema")):
+        if not names(self.spark, self._at("schema")):
             try:
                 _claim(self.spark, self._at("schema"), df.schema.json())
             except Conflict:
@@ -166,14 +161,14 @@ class StoredTable:
     # environments: one pointer file for each move, the newest counts
 
     def point(self, env: str, version: int, why: str = "set") -> None:
-        if f"{version:012d}" not in _names(self.spark, self._at("versions")):
+        if f"{version:012d}" not in names(self.spark, self._at("versions")):
             raise ValueError(f"no version {version}")
-        moves = _names(self.spark, self._at("environments", env))
+        moves = names(self.spark, self._at("environments", env))
         _claim(self.spark, self._at("environments", env, f"{len(moves) + 1:012d}"), f"{version} {why}")
 
     def moves(self, env: str) -> list[tuple[int, str]]:
         """(version, why) of an environment's moves, oldest first."""
-        out = [_text(self.spark, self._at("environments", env, n)).split(" ", 1) for n in _names(self.spark, self._at("environments", env))]
+        out = [_text(self.spark, self._at("environments", env, n)).split(" ", 1) for n in names(self.spark, self._at("environments", env))]
         return [(int(v), why) for v, why in out]
 
     def pointed(self, env: str) -> int:

@@ -58,3 +58,45 @@ def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
 def event_fanout(spark: SparkSession, sf: str) -> DataFrame:
     """A stream-static join, drained."""
     return S.drain(S.fan_out(_outbox_stream(spark, sf), spark.createDataFrame(SUBSCRIBERS, "subscriber string, event_types array<string>")))
+
+
+def _telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished runs as they arrive, as fixtures.telemetry() has them."""
+    e, u, i = S.read(spark, sf, "events", "ts"), F.col("user_id"), F.col("event_id")
+    failed = (F.col("event_type") == "error") | ((u % 10 < 2) & F.col("event_type").isin("click", "view"))
+    return e.where(failed | (i % 97 != 0)).select(F.concat(F.lit("m"), u % 40).alias("model"), F.col("value").alias("runtime_seconds"), F.col("ts").alias("captured_at"))
+
+
+def _within(found: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n and whether each quantile of found is within the sketch's rank error among rows (keys, v)."""
+    j = found.join(rows, keys)
+    out = j.groupBy(*keys, "n", "p50", "p95").agg(F.count("*").alias("exact n"), *[F.count_if(F.col("v") < F.col(p)).alias(f"below {p}") for p in ("p50", "p95")], *[F.count_if(F.col("v") <= F.col(p)).alias(f"upto {p}") for p in ("p50", "p95")])
+    room = lambda p, x: (F.col(f"below {p}") <= F.col("n") * (x + S.RANK_ERROR) + 1) & (F.col(f"upto {p}") >= F.col("n") * (x - S.RANK_ERROR) - 1)
+    return out.select(*keys, F.col("exact n").alias("n"), (room("p50", 0.5) & (F.col("n") == F.col("exact n"))).alias("p50_within"), room("p95", 0.95).alias("p95_within"))
+
+
+CLOSED = "date_trunc('hour', captured_at) + interval 1 hour <= (select max(captured_at) - interval 1 hour from v_telemetry)"
+SHARES = {"p50": 0.5, "p95": 0.95}
+
+
+def _sketches(spark: SparkSession, sf: str) -> DataFrame:
+    return S.drain(S.quantile_sketches(_telemetry_stream(spark, sf), ["model"], "captured_at", "runtime_seconds"))
+
+
+def _exact(spark: SparkSession, sf: str, unit: str) -> DataFrame:
+    return fx.telemetry(spark, sf).select("model", F.date_trunc("hour", "captured_at").alias("hour"), F.date_trunc(unit, "captured_at").alias("bucket"), F.col("runtime_seconds").alias("v"))
+
+
+@query(f"select model, date_trunc('hour', captured_at) as bucket, count(*) as n, true as p50_within, true as p95_within from v_telemetry where {CLOSED} group by 1, 2")
+def stream_telemetry_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantile sketches of closed hours, held against the exact rows."""
+    found = S.sketch_quantiles(_sketches(spark, sf), SHARES)
+    return _within(found, _exact(spark, sf, "hour").drop("hour"), ["model", "bucket"])
+
+
+@query(f"select model, date_trunc('day', captured_at) as bucket, count(*) as n, true as p50_within, true as p95_within from v_telemetry where {CLOSED} group by 1, 2")
+def stream_telemetry_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Days merged from the sketches of their closed hours, held against the exact rows of those hours."""
+    hours = _sketches(spark, sf)
+    rows = _exact(spark, sf, "day").join(hours.select("model", F.col("bucket").alias("hour")), ["model", "hour"], "left_semi").drop("hour")
+    return _within(S.sketch_quantiles(S.merged_sketches(hours, ["model"], "day"), SHARES), rows, ["model", "bucket"])
