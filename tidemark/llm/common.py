@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,14 @@ def marks(of: DataFrame, name: str, slots: int = SLOTS) -> DataFrame:
     return slot.groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 64) as int)))").alias("bits"))
 
 
+def bitmap(marked: DataFrame, slots: int = SLOTS) -> bytes:
+    """marks() as the bytes of one array of longs: a fixed size, whatever the input."""
+    t = marked.select("word", "bits").toArrow()
+    on = np.zeros(slots // 64, np.int64)
+    on[t.column("word").to_numpy()] = t.column("bits").to_numpy()
+    return on.tobytes()
+
+
 def by_mark(df: DataFrame, name: str, marked: DataFrame, on: bool, slots: int = SLOTS) -> DataFrame:
     """Rows of df whose long `name` is marked (on) or isn't. marked has a fixed size and is broadcast; null counts as not marked."""
     slot = f"pmod(`{name}`, {slots}L)"

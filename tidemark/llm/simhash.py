@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLOTS, apart, components, cut, marks
+from .common import SLOTS, apart, bitmap, components, cut, marks
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -320,11 +320,7 @@ def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: i
         side = lambda c: prints.select(F.col("name").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in fps])
         far = sum((_differing(f"{w}_a", f"{w}_b") for w in fps[1:]), _differing("w0_a", "w0_b"))
         p = cut(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select("a", "b"))
-        on = np.zeros(SLOTS // 64, np.int64)
-        # a fixed number of words, whatever the input
-        for r in marks(p.select(F.explode(F.array("a", "b")).alias("name")), "name").collect():
-            on[r.word] = r.bits
-        some = cut(_texts(docs, on.tobytes()).groupBy("name").agg(F.first("t").alias("t")))
+        some = cut(_texts(docs, bitmap(marks(p.select(F.explode(F.array("a", "b")).alias("name")), "name"))).groupBy("name").agg(F.first("t").alias("t")))
         text = lambda c: some.select(F.col("name").alias(c), F.col("t").alias(f"t{c}"))
         return cut(_jaccard(p.join(text("b"), "b").join(text("a"), "a"), shingle, least))
 
@@ -335,12 +331,13 @@ def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: i
     few = of.groupBy("fp").agg(F.count("*").alias("n"), F.min("name").alias("least"))
     group = of.select("name", "fp").join(components(links(few, bits)).withColumnRenamed("node", "fp"), "fp", "left").select("name", F.coalesce("root", "fp").alias("group"))
     edges = cut(group.join(group.groupBy("group").agg(F.min("name").alias("least")), "group").select(F.col("least").alias("a"), F.col("name").alias("b")).where("a <> b").distinct())
-    # each text with one representative of a key, by three orders; only texts that none of them connects meet one another.
+    # each text with one representative of a key, then with two more; only texts that none of them connects meet one another.
     # unlike texts differ in 32 of 64 bits, alike ones in 10
-    for order in (F.col("name"), -F.col("name"), F.xxhash64("name")):
+    top = F.struct("name", "w0", "root")
+    for orders in ((F.col("name"),), (-F.col("name"), F.xxhash64("name"))):
         named = rooted(edges)
-        rep = named.groupBy("key").agg(F.min_by(F.struct("name", "w0", "root"), order).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "top")
-        near = named.join(rep, "key").withColumn("top_w0", F.col("top.w0")).where((F.col("root") != F.col("top.root")) & (_differing("w0", "top_w0") <= NEAR))
+        reps = named.groupBy("key").agg(F.array(*[F.min_by(top, o) for o in orders]).alias("tops"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "tops")
+        near = named.join(reps, "key").withColumn("top", F.explode("tops")).where((F.col("root") != F.col("top.root")) & (_differing("w0", "top.w0") <= NEAR))
         edges = cut(edges.union(verified(near.select(F.col("top.name").alias("a"), F.col("name").alias("b")))))
     rest = apart(rooted(edges), ["name", "w0"]).where(_differing("x.w0", "y.w0") <= NEAR)
     edges = edges.union(verified(rest.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))))

@@ -134,7 +134,7 @@ ONE = {"lo": np.zeros(1, np.uint64), "hi": ~np.zeros(1, np.uint64), "kids": [(-1
 
 def fit(vocab: DataFrame, words: int) -> dict[int, dict]:
     """The upper tree of each length, fitted on about SAMPLE words, by a hash of the word, however many there are: 12 bytes each come to the driver. Lengths that the sample lacks have one cell."""
-    got = vocab.where(F.pmod(F.xxhash64("word"), F.lit(max(words, 1))) < SAMPLE).select("length", "sig").toPandas()
+    got = vocab.where(F.pmod(F.xxhash64("word"), F.lit(max(words, 1))) < SAMPLE).select("length", "sig").toArrow().to_pandas()
     leaf = max(FEWEST, CELL * len(got) // max(words, 1))
     trees = {int(n): grow(g["sig"].to_numpy().view(np.uint64), leaf, False) for n, g in got.groupby("length")}
     return {n: {k: v for k, v in t.items() if k != "members"} for n, t in trees.items()}
