@@ -4,8 +4,9 @@ Texts are folded first: letters that look alike and digits that stand for letter
 plain letter each, all else becomes a space. Lexicon entries are words and beginnings of words
 whose share among toxic training rows is far above that among the others; their weight is the
 log of that ratio. Exception phrases are learned from the same rows: pairs of words with a listed
-one that stand in clean rows nearly always. A score is the weight of what matches, less what
-exception phrases excuse, normalised by the length of the text.
+one that stand in clean rows nearly always. What matches, less what exception phrases excuse, is weighed
+against a power of the text's length; the power and the weight that counts as toxic are those that
+tell the training rows apart best.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ LOOKALIKES = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 
+# features that a task counts before it hands them on
+MANY = 200_000
+# powers of the length that a lexicon may weigh matches against
+POWERS = (0.5, 0.25, 0.75)
+
 _table: list[np.ndarray] = []
 
 
@@ -76,13 +82,17 @@ def _count(rows: DataFrame, listed: frozenset[str] | None) -> DataFrame:
     """(feature, n): rows that hold the feature; '' counts the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["feature", "n"])
+        c: Counter = Counter()
         for b in batches:
-            c: Counter = Counter()
-            c[""] = b.num_rows
-            for t in b.column(0).to_pylist():
-                found = features(set(folded(t).split()))
+            c[""] += b.num_rows
+            for t in b.column(0):
+                found = features(set(folded(t.as_py()).split()))
                 c.update(found if listed is None else found & listed)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["feature", "n"])
+                if len(c) > MANY:
+                    yield rows(c)
+                    c = Counter()
+        yield rows(c)
 
     return rows.select("t").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
@@ -107,10 +117,49 @@ def _contexts(rows: DataFrame, listed: frozenset[str]) -> dict[str, int]:
 
 
 class Lexicon(NamedTuple):
-    """weights: of words (with a space at their end) and beginnings; exceptions: pairs of words that excuse what they hold."""
+    """weights: of words (with a space at their end) and beginnings; exceptions: pairs of words that excuse what they hold; a text of n words whose matches weigh w counts as toxic from w / n ** power = cut on."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...]
+    power: float = POWERS[0]
+    cut: float = 0.5
+
+
+def best_cut(w: np.ndarray, n: np.ndarray, toxic: np.ndarray, missed: int) -> tuple[float, float]:
+    """(power, cut) of the best F1 over rows of matched weight w > 0, n words and labels, besides `missed` toxic rows without a match; the cut lies in the middle of the gap."""
+    best = (-1.0, POWERS[0], 0.5)
+    for power in POWERS:
+        x = w / np.maximum(n, 1) ** power
+        order = np.argsort(-x, kind="stable")
+        x, y = x[order], toxic[order]
+        ends = np.flatnonzero(np.append(x[1:] != x[:-1], True))
+        hit = np.cumsum(y)[ends]
+        f1 = 2 * hit / (ends + 1 + y.sum() + missed)
+        # of equal ones the most rows
+        k = len(f1) - 1 - int(np.argmax(f1[::-1]))
+        low = x[ends[k] + 1] if k + 1 < len(ends) else x[ends[k]] / 4
+        if f1[k] > best[0] + 1e-9:
+            best = (float(f1[k]), power, float(np.sqrt(x[ends[k]] * low)))
+    return best[1:]
+
+
+def _fitted(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """lexicon with power and cut from rows (t, y): three numbers of each row with a match come to the driver, of a sample at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matcher(lexicon)
+        for b in batches:
+            got = [m.weigh(t.as_py()) for t in b.column(0)]
+            on = np.array([w > 0 for w, _ in got], bool)
+            w, n = (np.array([g[k] for g in got], float) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(w[on]), pa.array(n[on]), b.column(1).filter(pa.array(on)).cast(pa.int64())], ["w", "n", "y"])
+
+    got = rows.select("t", F.col("y").cast("long").alias("y")).mapInArrow(run, "w double, n double, y long").toArrow().to_pandas().sort_values(["w", "n", "y"])
+    if not len(got) or not (got["y"] == 1).any():
+        return lexicon
+    toxic = rows.where("y = 1").count()
+    power, cut_ = best_cut(got["w"].to_numpy(), got["n"].to_numpy(), (got["y"] == 1).to_numpy(), toxic - int((got["y"] == 1).sum()))
+    return lexicon._replace(power=power, cut=cut_)
 
 
 def _phrases(rows: DataFrame, listed: frozenset[str]) -> DataFrame:
@@ -138,7 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     with several labels counts as toxic if one says so. An entry is at least `ratio` times as
     frequent in toxic rows as in the others, and its evidence (log likelihood) is at least
     `evidence`, over rows and over the different words that it follows. A phrase is an exception
-    if it stands in three clean rows or more and in a tenth as many toxic ones at most.
+    if it stands in three clean rows or more and in a tenth as many toxic ones at most. Last the power
+    of the length and the weight that counts are fitted on the sample's rows.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     y = y.where(train)
@@ -174,13 +224,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     # and an entry adds nothing where a shorter beginning of it is as sure
     keep = {f: w for f, w in out.items() if not any(out.get(f[:k], -1) >= w - 0.5 for k in range(4, len(f)))}
     found = _phrases(rows, frozenset(keep)).where("clean >= 3 and toxic * 10 <= clean").select("phrase").collect() if keep else []
-    return Lexicon(dict(sorted(keep.items(), key=lambda x: (-x[1], x[0]))), tuple(sorted(r.phrase for r in found)))
+    return _fitted(rows, Lexicon(dict(sorted(keep.items(), key=lambda x: (-x[1], x[0]))), tuple(sorted(r.phrase for r in found))))
 
 
 class Matcher:
-    def __init__(self, lexicon: Lexicon) -> None:
+    def __init__(self, lexicon: Lexicon, threshold: float = 0.3) -> None:
         import ahocorasick
 
+        self.power, self.half = lexicon.power, lexicon.cut * (1 - threshold) / threshold
         self.auto = ahocorasick.Automaton()
         for f, w in lexicon.weights.items():
             self.auto.add_word(f" {f}", (len(f) + 1, w))
@@ -191,8 +242,8 @@ class Matcher:
         if self.any:
             self.auto.make_automaton()
 
-    def score(self, text: str | None) -> float:
-        """0 to 1: w / (w + log of the length), w the summed weight of matches that start at different words."""
+    def weigh(self, text: str | None) -> tuple[float, int]:
+        """The summed weight of matches that start at different words and aren't excused, and the number of words."""
         f = folded(text)
         best: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
@@ -202,13 +253,16 @@ class Matcher:
                 excused.append((start, end))
             else:
                 best[start] = max(best.get(start, 0.0), w)
-        for a, b in excused:
+        for a, b in excused if best else ():
             for s in [s for s in best if a <= s < b]:
                 del best[s]
-        if not best:
-            return 0.0
-        w = sum(best.values())
-        return w / (w + 1 + math.log1p(f.count(" ") / 50))
+        return sum(best.values()), f.count(" ") - 1
+
+    def score(self, text: str | None) -> float:
+        """0 to 1: x / (x + half), x the weight over the power of the length; the threshold where x is the lexicon's cut."""
+        w, n = self.weigh(text)
+        x = w / max(n, 1) ** self.power
+        return x / (x + self.half)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3, score_col: str = "score", pred_col: str = "predicted") -> DataFrame:
@@ -220,8 +274,9 @@ def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
     """
     if {score_col, pred_col} & set(docs.columns):
         raise ValueError(f"docs already has {score_col} or {pred_col}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(lexicon)
+        m = Matcher(lexicon, threshold)
         for b in batches:
             s = np.array([m.score(t) for t in b.column(at).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, score_col, pred_col])
