@@ -4,14 +4,16 @@ Every template's words are posted as (word, template, position). The index is as
 templates, whatever the corpus. For each template its words of highest inverse document
 frequency (counted over all files), a share of them that is a parameter, are looked up in a file,
 so that one notice never crowds out another; each occurrence votes for its template at a relative
-position (place in the file less place in the template). Positions within a few words of one
-another chain, as words that were put in or left out shift what follows; the template of a chain
+position (place in the file less place in the template). Votes whose positions differ by a
+parameter's number of words at most chain one after another, as words that were put in or left
+out shift what follows; shifts add up along a notice. The template of a chain
 with enough of its rare words is reported once one of its key phrases stands in the file. The key phrases of the base labels are templates of their own: their rarest word is the
 anchor, and every place of it is intersected with the postings of the others.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -50,6 +52,9 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution"]),
 ]
 
+# words put in or left out at one place that a chain passes
+DRIFT = 25
+
 KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 TO_SPACE = bytes(b if b in KEEP else 32 for b in range(256))
 
@@ -100,15 +105,15 @@ def rarest_words(index: Index, idf: dict[bytes, float], share: float) -> list[fr
     return [frozenset(sorted(set(ws), key=lambda w: (-idf[w], w))[: max(8, math.ceil(share * len(set(ws))))]) for _, ws, _ in index.templates]
 
 
-def best_chain(votes: list[tuple[int, bytes]], idf: dict[bytes, float], drift: int) -> float:
-    """The largest weight of the different words of votes (relative position, word) whose positions lie within `drift`."""
+def near_weight(votes: list[tuple[int, int, bytes]], idf: dict[bytes, float], width: int) -> float:
+    """The largest weight of the different words of votes (place, position in the template, word) whose relative positions lie within `width`: no chain that spans less weighs more."""
     best = weight = 0.0
     held: Counter = Counter()
-    votes = sorted(votes)
+    by = sorted((p - k, w) for p, k, w in votes)
     start = 0
-    for at, w in votes:
-        while votes[start][0] < at - drift:
-            gone = votes[start][1]
+    for at, w in by:
+        while by[start][0] < at - width:
+            gone = by[start][1]
             held[gone] -= 1
             if not held[gone]:
                 weight -= idf[gone]
@@ -120,7 +125,33 @@ def best_chain(votes: list[tuple[int, bytes]], idf: dict[bytes, float], drift: i
     return best
 
 
-def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: list[frozenset[bytes]], coverage: float, drift: int = 10) -> tuple[list[int], list[str], list[str], float]:
+def best_chain(votes: list[tuple[int, int, bytes]], worth: dict[bytes, float], drift: int) -> float:
+    """The largest worth of a chain of votes (place, position in the template, word).
+
+    Along a chain places and positions rise, and the relative position (place less position)
+    moves by at most `drift` from one vote to the next, by any number in all. Of votes at one relative
+    position the later one has the better chain, so only the last that precedes counts.
+    """
+    lines: dict[int, tuple[list[int], list[float]]] = {}
+    best = 0.0
+    for p, k, w in sorted(votes):
+        own = p - k
+        got = 0.0
+        for r in range(own - drift, own + drift + 1):
+            if r in lines:
+                at, sums = lines[r]
+                # place before p, position before k
+                i = bisect.bisect_left(at, min(p, k + r)) - 1
+                if i >= 0 and sums[i] > got:
+                    got = sums[i]
+        at, sums = lines.setdefault(own, ([], []))
+        at.append(p)
+        sums.append(got + worth[w])
+        best = max(best, sums[-1])
+    return best
+
+
+def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: list[frozenset[bytes]], coverage: float, drift: int = DRIFT) -> tuple[list[int], list[str], list[str], float]:
     """Starts of base phrases, base labels, all labels, score."""
     present = index.vocabulary.intersection(words)
     # a template counts only with one of its key phrases
@@ -138,28 +169,35 @@ def scan_words(words: list[bytes], index: Index, idf: dict[bytes, float], rarest
             base.add(label)
     labels, score = set(base), 0.5 * bool(base)
     top = {w: {n for n in open_ if w in rarest[n]} for w in present if w in index.postings}
-    votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+    votes: dict[int, list[tuple[int, int, bytes]]] = defaultdict(list)
     for w, voters in top.items():
         for n, k in index.postings[w]:
             if n in voters:
-                votes[n] += [(p - k, w) for p in at[w]]
-    best = {n: min(1.0, best_chain(v, idf, drift) / max(sum(idf[w] for w in rarest[n]), 1e-9)) for n, v in votes.items()}
-    for n, share in best.items():
-        label, _, keys = index.templates[n]
-        if share >= coverage and any(places(at, k, idf) for k in keys):
+                votes[n] += [(p, k, w) for p in at[w]]
+    for n, v in votes.items():
+        label, own, keys = index.templates[n]
+        total = max(sum(idf[w] for w in rarest[n]), 1e-9)
+        # a chain of this template moves by less than its votes times the drift
+        if near_weight(v, idf, drift * (len(own) - 1)) < coverage * total - 1e-9 or not any(places(at, k, idf) for k in keys):
+            continue
+        # a word that stands in the template several times counts once in all
+        times = Counter(own)
+        share = min(1.0, best_chain(v, {w: idf[w] / times[w] for _, _, w in v}, drift) / total)
+        if share >= coverage:
             labels.add(label)
             score = max(score, share)
     return starts, sorted(base), sorted(labels), min(1.0, score)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, base: dict[str, str] = BASE, rare: float = 0.6, coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, base: dict[str, str] = BASE, rare: float = 0.6, coverage: float = 0.6, drift: int = DRIFT) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
     A null or blank text has no words and gives 0, 0, null, null, '', '', 0.0. Ids may be null or
     repeat, and every row has its own result; texts are read whole, whatever their length; of
     templates that tie all labels stand; an empty table gives an empty result; other columns are
     not read. rare: the share of each template's words, rarest first, that are looked up for its
-    votes; base phrases are found at every place, whatever the share.
+    votes; base phrases are found at every place, whatever the share. drift: the words put in or left
+    out at one place that a notice is still followed over.
     """
     index = Index(templates, base)
     df = document_frequencies(docs, index, text_col)
@@ -173,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             out = []
             for t in b.column(1).to_pylist():
                 ws = words_of(t)
-                starts, own, labels, score = scan_words(ws, index, idf, rarest, coverage)
+                starts, own, labels, score = scan_words(ws, index, idf, rarest, coverage, drift)
                 out.append((len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(labels), score))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True))], names)
