@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, licenses, toxicity
@@ -52,18 +54,20 @@ def test_license_notice_in_any_share_of_the_rows(spark):
             assert {r.labels for r in got if rows[r.doc_id][1] == notice} == {label}
 
 
-def brute_labels(text, index, idf, coverage=0.6, share=0.6, drift=10):
-    """Labels and score by trying every relative position and every key phrase at every place."""
+def brute_labels(text, index, idf, coverage=0.6, share=0.6, drift=25):
+    """Labels and score by comparing every two votes and trying every key phrase at every place."""
     ws = licenses.words_of(text.encode())
     stands = lambda p: any(ws[k : k + len(p)] == p for k in range(len(ws)))
     labels = {label for p, label in index.base if stands(p)}
     score = 0.5 * bool(labels)
     for label, own, keys in index.templates:
         rare = sorted(set(own), key=lambda w: (-idf[w], w))[: max(8, -int(-share * len(set(own)) // 1))]
-        best = 0.0
-        for at in range(-len(own), len(ws) + 1):
-            held = {own[k] for k in range(len(own)) if own[k] in rare and any(ws[p] == own[k] for p in range(max(0, at + k), min(len(ws), at + k + drift + 1)))}
-            best = max(best, sum(idf[w] for w in held) / sum(idf[w] for w in rare))
+        votes = sorted((p, k) for p in range(len(ws)) for k in range(len(own)) if ws[p] == own[k] and own[k] in rare)
+        sums = []
+        for n, (p, k) in enumerate(votes):
+            before = [sums[m] for m, (q, j) in enumerate(votes[:n]) if q < p and j < k and abs((p - k) - (q - j)) <= drift]
+            sums.append(max(before, default=0.0) + idf[own[k]] / own.count(own[k]))
+        best = max(sums, default=0.0) / sum(idf[w] for w in rare)
         if best >= coverage - 1e-12 and any(stands(k) for k in keys):
             labels.add(label)
             score = max(score, min(1.0, best))
@@ -89,6 +93,24 @@ def test_license_labels_against_every_position():
         assert set(mine) == labels and abs(own_score - score) < 1e-9
 
 
+def test_license_shifts_add_up_over_a_notice():
+    """Twenty words put in at each of three places."""
+    index = licenses.Index(licenses.TEMPLATES, licenses.BASE)
+    idf = dict.fromkeys(index.vocabulary, 1.0)
+    rare = licenses.rarest_words(index, idf, 0.6)
+    own = next(t for label, t, _ in licenses.TEMPLATES if label == "bsd").split()
+    # behind its key phrase
+    for at in range(8, 18):
+        ws = list(own)
+        for k in (at, at + 28, at + 56):
+            ws[k:k] = ["extra"] * 20
+        _, _, labels, score = licenses.scan_words(licenses.words_of(" ".join(ws).encode()), index, idf, rare, 0.6)
+        broken = licenses.scan_words(licenses.words_of(" ".join(ws).encode()), index, idf, rare, 0.6, drift=10)[3]
+        assert "bsd" in labels and score > 0.95 > 0.9 > broken
+    # words in another order don't chain
+    assert licenses.best_chain([(10 - k, k, b"w") for k in range(10)], {b"w": 1.0}, 25) == 1.0
+
+
 def test_license_notices_with_words_put_in(spark):
     """Notices of 20 words or more with 1 to 3 words put in anywhere outside their key phrases are found in 9 of 10 places."""
     rng = random.Random(2)
@@ -198,3 +220,67 @@ def test_repeated_rows_have_equal_results(spark):
     df = spark.createDataFrame([(7, "Released under the MIT License. " * 3), (7, "Released under the MIT License. " * 3), (None, None), (None, None)], "doc_id long, text string")
     got = [tuple(r) for r in licenses.scan(df).collect()]
     assert len(got) == 4 and len(set(got)) == 2 and sum(r[2] for r in got) == 6
+
+
+def plain_weigh(text, lexicon):
+    """Every entry at every word of the folded text, by slices."""
+    ws = toxicity.folded(text).split()
+    line = " ".join(ws) + " "
+    starts = [0]
+    for w in ws[:-1]:
+        starts.append(starts[-1] + len(w) + 1)
+    best = {s: max((w for f, w in lexicon.weights.items() if line[s : s + len(f)] == f), default=0.0) for s in starts if ws}
+    for p in lexicon.exceptions:
+        for k, s in enumerate(starts):
+            if ws and line[s:].startswith(f"{p} "):
+                for t in starts[k : k + len(p.split())]:
+                    best[t] = 0.0
+    return sum(best.values()), len(ws)
+
+
+def test_toxicity_matches_equal_slices():
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon({"trash ": 5.0, "tras": 2.0, "idiot": 4.0, "scum ": 7.0, "id": 0.5}, ("trash can", "idiot proof"), 0.5, 1.0)
+    m = toxicity.Matcher(lexicon)
+    words = ["trash", "can", "TR4SH", "trasher", "idiots", "1d1ot", "proof", "scum", "scummy", "good", "-", "", "identity", "an", "ѕсum"]
+    for n in range(200):
+        text = " ".join(rng.choice(words) for _ in range(n % 20))
+        (w, k), (want, words_) = m.weigh(text), plain_weigh(text, lexicon)
+        assert abs(w - want) < 1e-9 and (k == words_ or not text.strip(" -"))
+
+
+def test_toxicity_length_and_exceptions_decide():
+    lexicon = toxicity.Lexicon({"trash ": 6.0}, ("trash can",), 0.5, 0.6)
+    m = toxicity.Matcher(lexicon)
+    at = lambda n: m.score(" ".join(["trash"] + ["word"] * (n - 1)))
+    # 6 / sqrt(100) is the cut
+    assert at(100) == pytest.approx(0.3) and at(99) > 0.3 > at(101) > 0.0 and at(40_000) < 0.05
+    assert m.score("a trash can") == 0.0 and m.score("") == m.score(None) == 0.0 and m.score("trash can trash") > 0.3
+    # rows of the training sample: short ones with a match are toxic, long ones aren't
+    w, n, y = np.array([4.0] * 8), np.array([10, 20, 30, 40, 900, 1600, 2500, 3600]), np.array([True] * 4 + [False] * 4)
+    power, cut = toxicity.best_cut(w, n, y, 1)
+    assert ((w / n**power >= cut) == y).all()
+    # where length tells nothing, all matches count
+    power, cut = toxicity.best_cut(w, n, np.ones(8, bool), 0)
+    assert (w / n**power >= cut).all()
+
+
+def test_one_row_many_times_takes_no_other_languages_place(spark):
+    """One document of `en` on thousands of rows; the other languages keep their centroids."""
+    rng = random.Random(6)
+    letters = {"en": "abcdefgh", "fr": "ijklmnop", "zz": "qrstuvwx"}
+    text = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(30))
+    rows = [(7, text("en"), "en")] * 5000 + [(100 + n, text(k), k) for n in range(120) for k in letters]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, "doc_id", "text", "lang", sample_rows=120)
+    assert set(model.langs) == set(letters)
+    # nearest centroid in plain Python
+    texts = [text(k) for k in letters for _ in range(5)]
+    counts = np.stack([language.grams(t, len(model.idf)) for t in texts])
+    lang, _, _ = model.predict(counts)
+    v = language.vectors(counts.astype(float), model.idf)
+    want = []
+    for x in v:
+        near = [sum(float(a) * float(b) for a, b in zip(x, c, strict=True)) for c in model.centroids]
+        want.append(model.langs[max(range(len(near)), key=lambda k: (near[k], -k))])
+    assert list(lang) == want == [k for k in letters for _ in range(5)]

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -111,16 +111,17 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, dims: int =
     if not totals:
         return None
     idf = np.log((1 + sum(totals.values())) / (1 + np.array([got.get(str(k), 0) for k in range(dims)]))) + 1.0
-    # about sample_rows / languages of each, by a hash of the id
+    # about sample_rows / languages of each, by a hash of id and text; rows that repeat thousands of times don't fill another language's place
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(sample_rows / len(totals) / n)) for k, n in totals.items()])
-    picked = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)) < share)
+    picked = rows.where((F.pmod(F.xxhash64("id", "t"), F.lit(1 << 20)) / float(1 << 20)) < share)
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = [np.minimum(grams(t, dims), 65535).astype("<u2").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(v, pa.binary())], ["lang", "v"])
 
-    sample = picked.mapInArrow(vectorise, "lang string, v binary").orderBy("lang", "v").limit(2 * sample_rows).collect()
+    most = Window.partitionBy("lang").orderBy(F.xxhash64("v"), "v")
+    sample = picked.mapInArrow(vectorise, "lang string, v binary").withColumn("at", F.row_number().over(most)).where(F.col("at") <= max(2 * sample_rows // len(totals), 1)).select("lang", "v").orderBy("lang", "v").collect()
     langs = [r.lang for r in sample]
     v = vectors(np.stack([np.frombuffer(bytes(r.v), "<u2") for r in sample]).astype(float), idf) if sample else np.zeros((0, dims))
     cents, names = [], []
