@@ -8,7 +8,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.sentencepieces import encode_decode, pieces
+from tidemark.llm.sentencepieces import Pieces, encode_decode, pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -55,3 +55,15 @@ def test_operator(spark, lib):
     want = sorted((str(i), hashlib.sha256(np.array(lib.encode(t or "", add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()) for i, t in rows)
     assert sorted((str(r.doc_id), r.ids_sha256) for r in out) == want
     assert all(r.n_tokens == len(r.ids) and hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 for r in out)
+
+
+def test_another_kind_of_model_is_refused(monkeypatch):
+    """A library that normalises otherwise, as another model would make it do."""
+
+    class Other(sentencepiece.SentencePieceProcessor):
+        def encode(self, texts, **k):
+            return super().encode([t.lower() for t in texts], **k)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError, match="another way"):
+        Pieces(PATH)

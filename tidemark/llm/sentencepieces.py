@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NONE = np.int64(1) << 40
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+# texts that a model of another normaliser, prefix, kind or fallback encodes in another way
+PROBES = ["", " ", "a", " a", "a  b ", "  a\tb\n", "Ｆｕｌｌ ﬁ Ⅷ ½ ①", "A\u0301 á \u00a0x\u3000y", "straße İi", "日本語 \U0001f600", "\x00\x7f\ufeff", "▁x", "the international representatives' 12345"]
 codecs.register_error("piecewise", lambda e: ("�", e.start + 1))
 
 
@@ -79,6 +81,11 @@ class Pieces:
         self.raw_flat = np.frombuffer(b"".join(raw), np.uint8)
         self.cache_words = cache_words
         self.forget()
+        # a model with another normaliser, prefix, kind or way with unknown characters is refused, not encoded wrongly
+        want = sp.encode(PROBES, add_bos=True, add_eos=True, num_threads=1)
+        for t, own, theirs in zip(PROBES, self.encode(PROBES), want, strict=True):
+            if own.tolist() != theirs or self.decode(own) != sp.decode(theirs):
+                raise ValueError(f"{path} isn't a model that this encoder knows: it encodes {t!r} in another way")
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
