@@ -1,4 +1,7 @@
-"""Anomalies, forecasts, risk scores, roll-ups, drift and evaluation."""
+"""Anomalies, forecasts, risk scores, roll-ups, drift and evaluation.
+
+Fixed values: the weights, thresholds and defaults in the scores of this module.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,22 +128,20 @@ def risk_score(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(p, "node").withColumn("s", F.least(F.lit(10.0), raw)).select("node", F.round("s", 2).alias("score"), (F.col("s") >= 3).alias("needs_approval"), (F.col("s") >= 7).alias("critical"))
 
 
-# the same rules as RE2 has them, written out for DuckDB: it has no look-ahead, so values that are scrubbed already are set apart by a mark before the last rule
-TELEMETRY_SQL = r"""replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
-  '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b', '[REDACTED_EMAIL]', 'g'),
-  '\b(?:\+?1[-.\s]?)?\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}\b', '[REDACTED_PHONE]', 'g'),
-  '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '[REDACTED_SSN]', 'g'),
-  '\b(?:4\d{{3}}|5[1-5]\d{{2}}|3[47]\d{{2}}|6(?:011|5\d{{2}}))[-\s]?\d{{4}}[-\s]?\d{{4}}[-\s]?\d{{1,4}}\b', '[REDACTED_CC]', 'g'),
-  '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b', '[REDACTED_IP]', 'g'),
-  '\b(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}\b', '[REDACTED_IP]', 'g'),
-  '(?i)\bdapi[a-f0-9]{{32}}\b', '[REDACTED_TOKEN]', 'g'),
-  '(?i)\b(password|secret|token|api_key|apikey)(\s*[=:]\s*\[REDACTED)', '\1' || chr(1) || '\2', 'g'),
-  '(?i)\b(?:password|secret|token|api_key|apikey)\s*[=:]\s*\S+', '[REDACTED_SECRET]', 'g'), chr(1), '')"""
-PROMPT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
-  '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b', '<EMAIL>', 'g'), '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '<SSN>', 'g'), '\b(?:\d[ -]*?){{13,19}}\b', '<CC>', 'g'),
-  '\b(?:\+?1[-.\s]?)?\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}\b', '<PHONE>', 'g'), '(?i)\bdapi[a-f0-9]{{32}}\b', '<TOKEN>', 'g'),
-  '(?i)\b(?:password|secret|token|api_key|apikey|api[-_]?secret)\s*[=:]\s*\S+', '<SECRET>', 'g')"""
-LITERALS_SQL = r"""regexp_replace(regexp_replace({c}, '''[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}''', '''[REDACTED_EMAIL]''', 'g'), '(?i)(?:first_name|last_name|full_name|username)\s*=\s*''[^'']+''', '[REDACTED_NAME_FILTER]', 'g')"""
+def _replaced(c: str, rules: list[tuple[str, str]]) -> str:
+    """The rules one after another as DuckDB text. It has no look-ahead, so where a rule asks for one, what it excludes is set apart by a mark before the rule and freed after it."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    for pattern, to in rules:
+        if not (ahead := re.search(r"\(\?!(.*?)\)", pattern)):
+            c = f"regexp_replace({c}, {quoted(pattern)}, {quoted(to)}, 'g')"
+            continue
+        before, after = pattern[: ahead.start()], pattern[ahead.end() :]
+        names = re.search(r"\(\?:(.*?)\)(.*)", before)
+        marked = f"{before[: names.start()]}({names[1]})({names[2]}{ahead[1]})"
+        c = f"replace(regexp_replace(regexp_replace({c}, {quoted(marked)}, '\\1' || chr(1) || '\\2', 'g'), {quoted(before + after)}, {quoted(to)}, 'g'), chr(1), '')"
+    return c
+
+
 NAMED = "(select p_partkey, 'select * from t where full_name = ''' || p_name || ''' and mail = ''a' || p_partkey || '@x.org'' and id = ' || (1000000 + p_partkey) || ' and note = ''it''''s'' and ip <> 10.0.0.' || (p_partkey % 256) as text from part)"
 
 
@@ -151,28 +151,27 @@ def _named(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "part").select("p_partkey", s.alias("text"))
 
 
-@query(f"select doc_id, {TELEMETRY_SQL.format(c='text')} as text from documents")
+@query(f"select doc_id, {_replaced('text', P.PROFILES['telemetry'])} as text from documents")
 def pii_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return P.scrub(fx.table(spark, sf, "documents").select("doc_id", "text"), ["text"])
 
 
-@query(f"select doc_id, {PROMPT_SQL.format(c='text')} as text from documents")
+@query(f"select doc_id, {_replaced('text', P.PROFILES['prompt'])} as text from documents")
 def pii_scrub_llm(spark: SparkSession, sf: str) -> DataFrame:
     return P.scrub(fx.table(spark, sf, "documents").select("doc_id", "text"), ["text"], "prompt")
 
 
-@query(r"""select doc_id, regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') or regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') or regexp_matches(text, '\b(?:\d[ -]*?){13,19}\b') or regexp_matches(text, '\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b')
-  or regexp_matches(text, '(?i)\bdapi[a-f0-9]{32}\b') or regexp_matches(text, '(?i)\b(?:password|secret|token|api_key|apikey|api[-_]?secret)\s*[=:]\s*\S+') or regexp_matches(text, '''(?:[^'']|'''')*''') as has_pii from documents""")
+@query("select doc_id, " + " or ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for p in [*[p for p, _ in P.PROMPT], P.PROMPT_LITERAL]) + " as has_pii from documents")
 def pii_flag(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "documents").select("doc_id", P.contains_pii(F.col("text")).alias("has_pii"))
 
 
-@query(f"select p_partkey, {TELEMETRY_SQL.format(c=LITERALS_SQL.format(c='text'))} as text from {NAMED}")
+@query(f"select p_partkey, {_replaced('text', P.PROFILES['sql'])} as text from {NAMED}")
 def sql_literal_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return P.scrub(_named(spark, sf), ["text"], "sql")
 
 
-@query("select p_partkey, " + PROMPT_SQL.format(c=r"""regexp_replace(regexp_replace(text, '''(?:[^'']|'''')*''', '<LITERAL>', 'g'), '\b\d{7,}\b', '<ID>', 'g')""") + f" as text from {NAMED}")
+@query(f"select p_partkey, {_replaced('text', P.PROFILES['prompt_sql'])} as text from {NAMED}")
 def sql_prompt_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return P.scrub(_named(spark, sf), ["text"], "prompt_sql")
 
