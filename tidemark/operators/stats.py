@@ -158,7 +158,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
 def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float | Callable[[Column], Column]], small: int = 50_000, parts: int = 256) -> DataFrame:
     """keys and for each name of shares the value at rank int(n * share), at most the last, of the key's sorted values; nulls don't count. A share may be a function from n to the rank.
 
-    Keys of up to `small` values, by a count taken first, are sorted as one array each. Of others
+    Keys of up to `small` values, by a count taken first, are sorted in one task each. Of others
     equal values are counted, and running counts go over `parts` ranges of the values, cut at approximate
     quantiles, so that ranges hold about as many values each whatever their distribution. Both
     ways are exact.
@@ -166,9 +166,14 @@ def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     rank = lambda share: F.least(share(F.col("n")) if callable(share) else F.floor(F.col("n") * share), F.col("n") - 1)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
     large = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*keys, F.lit(True).alias("is large")))
-    arrays = lambda d: d.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("xs"), F.count("*").alias("n")).select(*keys, *[F.element_at("xs", (rank(x) + 1).cast("int")).alias(name) for name, x in shares.items()])
+    own = Window.partitionBy(*keys)
+
+    def sorted_(d: DataFrame) -> DataFrame:
+        d = d.withColumn("at", F.row_number().over(own.orderBy("v")) - 1).withColumn("n", F.count("*").over(own))
+        return d.groupBy(*keys).agg(*[F.max(F.when(F.col("at") == rank(x), F.col("v"))).alias(name) for name, x in shares.items()])
+
     if large.isEmpty():
-        return arrays(rows)
+        return sorted_(rows)
     v = _same(rows, large, keys)
     few, many = v.where("`is large` is null").drop("is large"), v.where("`is large`").drop("is large")
     v = cut(many.groupBy(*keys, "v").agg(F.count("*").alias("c")))
@@ -179,7 +184,7 @@ def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v"))
     run = _same(ranged, before, [*keys, "part"]).withColumn("upto", upto)
     out = run.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(x)) & (F.col("upto") - F.col("c") <= rank(x)), F.col("v"))).alias(name) for name, x in shares.items()])
-    return arrays(few).union(out)
+    return sorted_(few).union(out)
 
 
 def rollup(telemetry: DataFrame, unit: str) -> DataFrame:
