@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
 NONE = np.int64(1) << 40
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -241,4 +243,4 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

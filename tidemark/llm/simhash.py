@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLOTS, apart, bitmap, components, cut, marks
+from .common import SLOTS, apart, bitmap, components, cut, lean, marks
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(lean(run), f"id {kind}, fp long")
 
 
 def keys_of(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def _keyed(fps: DataFrame, probe: bool) -> DataFrame:
                 r, k = keys_of(part, probe)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(part[r]), pa.array(n[at : at + 4096][r])], ["key", "fp", "n"])
 
-    return fps.select("fp", "n").mapInArrow(run, "key long, fp long, n long")
+    return fps.select("fp", "n").mapInArrow(lean(run), "key long, fp long, n long")
 
 
 def _differing(a: str, b: str):
@@ -259,7 +259,7 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
 
     columns = ["row", "name", "check", "fp", *(f"w{k}" for k in range(WORDS)), "keys"]
     schema = f"row {docs.schema['row'].dataType.simpleString()}, name long, check long, fp long, {', '.join(f'w{k} long' for k in range(WORDS))}, keys array<long>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _texts(docs: DataFrame, marked: bytes) -> DataFrame:
@@ -276,7 +276,7 @@ def _texts(docs: DataFrame, marked: bytes) -> DataFrame:
                 some = hit[at : at + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(name[some]), b.column(0).take(pa.array(some))], ["name", "t"])
 
-    return docs.select("t").mapInArrow(run, "name long, t binary")
+    return docs.select("t").mapInArrow(lean(run), "name long, t binary")
 
 
 def _jaccard(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -294,7 +294,7 @@ def _jaccard(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
                 on.append(len(x & y) >= least * len(x | y))
             yield b.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, lean
 from .common import fold as crc_fold
 
 # Characters that look like a Latin letter, with that letter; digits that stand for one.
@@ -94,7 +94,7 @@ def _count(rows: DataFrame, listed: frozenset[str] | None) -> DataFrame:
                     c = Counter()
         yield rows(c)
 
-    return rows.select("t").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("t").mapInArrow(lean(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _contexts(rows: DataFrame, listed: frozenset[str]) -> dict[str, int]:
@@ -112,7 +112,7 @@ def _contexts(rows: DataFrame, listed: frozenset[str]) -> dict[str, int]:
 
     if not listed:
         return {}
-    got = rows.select("t").mapInArrow(run, "feature string, before string").distinct().groupBy("feature").agg(F.count("*").alias("n"))
+    got = rows.select("t").mapInArrow(lean(run), "feature string, before string").distinct().groupBy("feature").agg(F.count("*").alias("n"))
     return {r.feature: r.n for r in got.collect()}
 
 
@@ -154,7 +154,7 @@ def _fitted(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
             w, n = (np.array([g[k] for g in got], float) for k in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(w[on]), pa.array(n[on]), b.column(1).filter(pa.array(on)).cast(pa.int64())], ["w", "n", "y"])
 
-    got = rows.select("t", F.col("y").cast("long").alias("y")).mapInArrow(run, "w double, n double, y long").toArrow().to_pandas().sort_values(["w", "n", "y"])
+    got = rows.select("t", F.col("y").cast("long").alias("y")).mapInArrow(lean(run), "w double, n double, y long").toArrow().to_pandas().sort_values(["w", "n", "y"])
     if not len(got) or not (got["y"] == 1).any():
         return lexicon
     toxic = rows.where("y = 1").count()
@@ -175,7 +175,7 @@ def _phrases(rows: DataFrame, listed: frozenset[str]) -> DataFrame:
             keys = list(count)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.bool_()), pa.array([count[k] for k in keys], pa.int64())], ["phrase", "bad", "n"])
 
-    got = rows.select("t", "y").mapInArrow(run, "phrase string, bad boolean, n long")
+    got = rows.select("t", "y").mapInArrow(lean(run), "phrase string, bad boolean, n long")
     return got.groupBy("phrase").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("clean"))
 
 
@@ -283,7 +283,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
 
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(pred_col, T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def score_by_folds(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
