@@ -165,3 +165,16 @@ def test_a_very_long_turn(spark):
     rows = [(1, 0, "user", "long " * 200_000), (1, 1, "assistant", "b"), (2, 0, "user", "long " * 200_000), (3, 0, "user", "long " * 199_999), (3, 0, "user", "long " * 199_999)]
     got = {r.conv_id: (r.n_turns, len(r.chat)) for r in chats.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert set(got) == {1, 3} and got[1][0] == got[3][0] == 2 and got[1][1] > 1_000_000
+
+
+def test_windows_of_a_text_without_names_come_once(spark):
+    D = decontaminate
+    df = spark.createDataFrame([("three of 40 grey cats slept on the warm mat",), ("three of 40 grey Cats slept on the warm mat",), ("two words",), ("",)], "t string")
+    got = [[(w.n, w.pos, w.form) for w in r.w] for r in df.select(D._windows(F.col("t"), [5, 2, 3], b"\1" * D.SLOTS).alias("w")).collect()]
+    every = lambda n: [(w, p) for w in (5, 2, 3) for p in range(n - w + 1)]
+    assert got[0] == [(*x, 0) for x in every(10)] and got[1] == got[0] + [(*x, 1) for x in every(10)]
+    assert got[2:] == [[(2, 0, 0)], []]
+    # windows are equal where their words are, whatever stands around them
+    two = spark.createDataFrame([("a b c d e f g",), ("x c d e f g",)], "t string").select(D._windows(F.col("t"), [5], None).alias("w")).collect()
+    h = [{w.pos: w.h for w in r.w if w.form == 0} for r in two]
+    assert h[0][2] == h[1][1] and len(set(h[0].values()) | set(h[1].values())) == 4

@@ -9,7 +9,7 @@ if the words behind the placeholders are consistent: one value in the item alway
 value in the document. A re-parameterised question matches with other values. DataFrame functions
 only.
 
-Before the join, document windows pass a table of one bit per hash slot that marks the
+Before the join, document windows pass a table of one byte per hash slot that marks the
 benchmark's windows. Its size is fixed, so a larger benchmark only lets more windows through.
 """
 
@@ -40,19 +40,23 @@ def typed(text: Column) -> Column:
     return words(let(numbered, lambda x: F.when(F.contains(x, F.lit(NUMBER)), F.regexp_replace(x, f"(?<={NUMBER} ?)(?i:{UNITS})(?!\\p{{L}})", UNIT)).otherwise(x)))
 
 
+def _name(word: Column, low: Column) -> Column:
+    """Whether a word, in lower case low, is capitalised and isn't a function word. Most words are in lower case and end at the first comparison."""
+    return (word != low) & (F.substring(word, 1, 1) != F.substring(low, 1, 1)) & ~low.isin(*sorted(set(FUNCTION)))
+
+
 def named(word: Column) -> Column:
     """A name's placeholder for a capitalised word that isn't a function word; else the word in lower case."""
-    low = F.lower(word)
-    return F.when((F.substring(word, 1, 1) != F.substring(low, 1, 1)) & ~low.isin(*sorted(set(FUNCTION))), NAME).otherwise(low)
+    return F.when(_name(word, F.lower(word)), NAME).otherwise(F.lower(word))
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATOR, -1), lambda x: x != "")
 
 
-def _bit(marked: bytes, k: Column) -> Column:
-    """Whether bit k is set; seven bits a byte, so that each byte is an ASCII character."""
-    return F.ascii(F.substring(F.lit(marked), F.floor(k / 7).cast("int") + 1, F.lit(1)).cast("string")).bitwiseAND(F.call_function("shiftleft", F.lit(1), k % 7)) != 0
+def _bit(marked: Column, h: Column) -> Column:
+    """Whether the byte of h's slot is set. A byte a slot: lambdas are interpreted, and bits would need their slot twice."""
+    return F.substring(marked, F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) != F.lit(b"\0")
 
 
 def _plain(word: Column) -> Column:
@@ -62,34 +66,44 @@ def _plain(word: Column) -> Column:
 WINDOW = "struct<pos:int,n:int,form:int,h:bigint,plain:int,slots:array<struct<at:int,value:string>>>"
 
 
+def _joined(h: Column, n: int) -> Column:
+    """Hashes of n consecutive elements of h at each place: halves are hashed once and meet, so that no place looks up n elements."""
+    if n == 1:
+        return h
+    k = n // 2 if n % 2 == 0 else n - 1
+    rest = F.greatest(F.size(h) - n + 1, F.lit(0))
+    return let(_joined(h, k), lambda w: F.zip_with(F.slice(w, F.lit(1), rest), F.slice(h if n % 2 else w, F.lit(k + 1), rest), lambda a, b: F.xxhash64(a, b)))
+
+
 def _windows(text: Column, widths: list[int], marked: bytes | None) -> Column:
-    """Array of (pos, n, form, h, plain, slots): hashes of the windows of n canonical words in both forms (1: names typed), their plain words, and (place, raw word) of their placeholders."""
-
-    def hashed(w: Column, n: int) -> Column:
-        return let(
-            F.transform(w, lambda x: F.xxhash64(x)),
-            lambda h: F.when(F.size(h) < n, F.array().cast("array<struct<pos:int,n:int,h:bigint>>")).otherwise(
-                F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(*[F.get(h, i + k) for k in range(n)]).alias("h")))
-            ),
-        )
+    """Array of (pos, n, form, h, plain, slots): hashes of the windows of n canonical words in both forms (1: names typed), their plain words, and (place, raw word) of their placeholders.
 
-    def kept(w: Column, n: int) -> Column:
-        return hashed(w, n) if marked is None else F.filter(hashed(w, n), lambda x: _bit(marked, F.pmod(x["h"], F.lit(SLOTS)).cast("int")))
+    With marks, windows that aren't marked are left out, and a text without a name has form 0 alone.
+    """
+
+    def found(h: Column, bits: Column | None, n: int) -> Column:
+        every = lambda w: F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(w) - 1))
+        kept = lambda w: every(w) if bits is None else F.filter(every(w), lambda i: _bit(bits, F.get(w, i)))
+        return let(_joined(h, n), lambda w: F.transform(kept(w), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.get(w, i).alias("h"))))
 
-    def slots(w: Column, hs: Column, form: int) -> Column:
-        one = lambda raw, x: F.filter(F.transform(F.sequence(x["pos"], x["pos"] + x["n"] - 1), lambda p: F.when(~_plain(F.get(w, p)), F.struct((p - x["pos"]).alias("at"), F.lower(F.get(raw, p)).alias("value")))), lambda s: s.isNotNull())
+    def slots(canonical: Column, hs: Column, form: int) -> Column:
+        word = lambda p: (F.lower, named)[form](F.get(canonical, p))
+        one = lambda raw, x: F.filter(F.transform(F.sequence(x["pos"], x["pos"] + x["n"] - 1), lambda p: F.when(~_plain(word(p)), F.struct((p - x["pos"]).alias("at"), F.lower(F.get(raw, p)).alias("value")))), lambda s: s.isNotNull())
         return F.when(F.size(hs) == 0, F.array().cast(f"array<{WINDOW}>")).otherwise(
             let(words(text), lambda raw: F.transform(hs, lambda x: let(one(raw, x), lambda v: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), F.lit(form).alias("form"), x["h"].alias("h"), (x["n"] - F.size(v)).cast("int").alias("plain"), v.alias("slots"))))).cast(f"array<{WINDOW}>")
         )
 
-    def both(raw: Column) -> Column:
-        found = []
-        for form, canonical in enumerate((F.lower, named)):
-            w = F.transform(raw, canonical)
-            found.append(let(w, lambda x: let(F.flatten(F.array(*[kept(x, n) for n in widths])) if len(widths) > 1 else kept(x, widths[0]), lambda hs: slots(x, hs, form))))  # noqa: B023
-        return F.concat(*found)
+    def both(raw: Column, bits: Column | None) -> Column:
+        of = lambda h, form: let(F.flatten(F.array(*[found(h, bits, n) for n in widths])) if len(widths) > 1 else found(h, bits, widths[0]), lambda hs: slots(raw, hs, form))
+
+        def forms(low: Column, plain: Column) -> Column:
+            typed_names = F.transform(raw, lambda x, i: F.when(_name(x, F.get(low, i)), F.xxhash64(F.lit(NAME))).otherwise(F.get(plain, i)))
+            again = lambda h: of(h, 1) if bits is None else F.when(h == plain, F.array().cast(f"array<{WINDOW}>")).otherwise(of(h, 1))
+            return F.concat(of(plain, 0), let(typed_names, again))
+
+        return let(F.transform(raw, F.lower), lambda low: let(F.transform(low, lambda x: F.xxhash64(x)), lambda h: forms(low, h)))
 
-    return let(typed(text), both)
+    return let(typed(text), lambda raw: both(raw, None) if marked is None else let(F.lit(marked), lambda bits: both(raw, bits)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, share: float = 0.5, windows: int = 9) -> DataFrame:
@@ -113,10 +127,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     own = own.join(rich, ["item", "form"]).where("rich or not any")
     own = own.select("item", "form", F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots")).distinct()
     sizes = own.groupBy("item", "form").agg(F.countDistinct("item_pos").alias("item_windows"))
-    marks = bytearray(SLOTS // 7 + 1)
+    marks = bytearray(SLOTS)
     # at most SLOTS rows, whatever the benchmark's size
     for r in own.select(F.pmod("h", F.lit(SLOTS)).alias("k")).distinct().collect():
-        marks[r.k // 7] |= 1 << r.k % 7
+        marks[r.k] = 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)), F.explode(_windows(text, [width, *short], bytes(marks))).alias("w"))
     seen = seen.select("id", "k1", "k2", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots")).distinct()
