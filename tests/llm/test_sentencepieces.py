@@ -3,12 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.sentencepieces import Pieces, encode_decode, pieces
+from tidemark.llm.sentencepieces import Pieces, batches_of, encode_decode, pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -57,6 +58,24 @@ def test_operator(spark, lib):
     assert all(r.n_tokens == len(r.ids) and hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 for r in out)
 
 
+def test_workers_keep_no_words_of_ended_tasks(spark):
+    def kept(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(pieces(PATH).words)])], ["n"])
+
+    docs = spark.range(4000, numPartitions=8).selectExpr("id as doc_id", "concat('word', id, ' other', id * 7) as text")
+    assert encode_decode(docs, PATH, whole=False).count() == 4000
+    probes = [r.n for r in spark.range(8, numPartitions=8).mapInArrow(kept, "n long").collect()]
+    # a worker that is new has loaded the model, and with it encoded the probes
+    assert max(probes) < 100
+
+
+def test_batches_are_cut_as_texts_come():
+    it = iter(["x" * 200_000] * 5)
+    assert len(next(batches_of(it))) == 1
+    assert len(list(it)) == 3
+
+
 def test_another_kind_of_model_is_refused(monkeypatch):
     """A library that normalises otherwise, as another model would make it do."""
 

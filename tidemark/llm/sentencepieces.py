@@ -15,7 +15,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ codecs.register_error("piecewise", lambda e: ("�", e.start + 1))
 class Pieces:
     """Vocabulary, pair table and the encoder and decoder over it."""
 
-    def __init__(self, path: str, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, cache_words: int = 200_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -200,7 +200,8 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def batches_of(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+def batches_of(texts: Iterable[str], chars: int = 1 << 18) -> Iterator[list[str]]:
+    """Lists of texts, one after another: arrays of a merge round take some hundred bytes a character."""
     out, n = [], 0
     for t in texts:
         if out and n + len(t) > chars:
@@ -217,15 +218,15 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     A null text is encoded as the empty one (begin and end alone). Ids may be null or repeat;
     an empty table gives an empty result; only the two named columns are read.
-    model is a path that every executor can open; it is read there, once per worker.
+    model is a path that every executor can open; it is read there, once per worker. Words that
+    a task has encoded are kept until it ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for b in batches:
-            raw = [(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()]
             at = 0
-            for part in batches_of(raw):
+            for part in batches_of((t.as_py() or b"").decode("utf-8", "replace") for t in b.column(1)):
                 ids = p.encode(part)
                 text = [p.decode(x) for x in ids]
                 cols = [
@@ -238,6 +239,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     cols += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(text, pa.string())]
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
+        # the worker stays for later stages, the task's words don't
+        p.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
