@@ -91,3 +91,23 @@ def test_wide_keys_are_pairs_of_nearest_codewords():
         code = [int(g.decode(np.array([(bits >> (23 * k)) & ((1 << 23) - 1)]))[0, 0]) >> 1 for k in range(S.WIDE)]
         assert ks.tolist() == [(n << 24) | (code[i] << 12) | code[j] for n, (i, j) in enumerate((i, j) for i in range(S.WIDE) for j in range(i))]
     assert not S.wide_fingerprint(None, 5).any() and S.wide_fingerprint(b"A b", 5).tolist() == S.wide_fingerprint(b"a  B", 5).tolist()
+
+
+def test_unlike_texts_alone_in_a_key_do_not_meet(spark, monkeypatch):
+    """Keys of 24 bits meet by chance; texts that stand alone there and aren't near go before anything is written."""
+    met, real = [], S.cut
+
+    def noted(df, where=None):
+        out = real(df, where)
+        if {"key", "w0"} <= set(out.columns):
+            met.append(out.select("name").distinct().count())
+        return out
+
+    monkeypatch.setattr(S, "cut", noted)
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(k, " ".join(word() for _ in range(30))) for k in range(3000)]
+    rows.append((3000, rows[0][1] + " and"))
+    of = {x.row: (x.component, x.own) for x in S.near_texts(spark.createDataFrame(rows, "row long, text string"), "row").collect()}
+    assert len(set(of.values())) == 3000 and of[0] == of[3000]
+    assert 2 <= met[0] <= 30

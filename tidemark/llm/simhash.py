@@ -312,7 +312,9 @@ def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: i
     fps = [f"w{k}" for k in range(WORDS)]
     of = rows.where(F.size("keys") > 0)
     keyed = of.where(" or ".join(f"{w} <> 0" for w in fps)).select("name", "w0", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("last")).where("least <> last").select("key")
+    # two texts alone in a key, most of which meet by chance, must be near: the test that is asked of all their pairs
+    shared = keyed.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("last"), F.count("*").alias("m"), F.bit_xor("w0").alias("apart"))
+    shared = shared.where((F.col("least") != F.col("last")) & ((F.col("m") > 2) | (F.bit_count("apart") <= NEAR))).select("key")
     met = cut(keyed.join(shared, "key"))
     prints = of.groupBy("name").agg(*[F.min(w).alias(w) for w in fps])
 
