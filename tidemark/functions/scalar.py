@@ -24,6 +24,11 @@ def safe_number(value: Column, default: float = 0.0) -> Column:
     return F.greatest(F.coalesce(F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double"), F.lit(default)), F.lit(0.0))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """value * 10^places rounded half up, over 10^places, as DuckDB rounds doubles. F.round goes by a double's shortest decimal text, so a sum just under a half (14.649999999999999) goes down where this goes up."""
+    return F.round(value * 10.0**places) / 10.0**places
+
+
 def floor_index(values: Column, p: float) -> Column:
     """Element int(n * p), at most the last, of an array's sorted values: neither linear nor SQL's discrete percentile."""
     ordered = F.sort_array(values)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rounded
 from .materialize import cut
 from .select import latest, top_n
 
@@ -267,11 +268,11 @@ def customer_health(usage: DataFrame, key: str, now: str, feature_days: int = 30
 
     def recency(kind: str) -> Column:
         days = (F.unix_micros(at) - F.unix_micros(F.max(F.when(F.col("event_type") == kind, F.col("created_at"))))) / 86_400_000_000
-        return F.round(F.when(days.isNull() | (days >= 30), 0.0).when(days <= 1, 25.0).otherwise(25.0 * (30 - days) / 29), 2)
+        return rounded(F.when(days.isNull() | (days >= 30), 0.0).when(days <= 1, 25.0).otherwise(25.0 * (30 - days) / 29), 2)
 
     used = F.countDistinct(F.when(F.col("created_at") >= at - F.expr(f"interval {feature_days} days"), F.col("event_type")))
-    g = usage.groupBy(key).agg(*[recency(k).alias(f"r{n}") for n, k in enumerate(("api_request", "plan_run", "ai_call"))], F.round(F.least(F.lit(25.0), used / 6 * 25), 2).alias("r3"))
-    g = g.select(key, F.round(F.col("r0") + F.col("r1") + F.col("r2") + F.col("r3"), 1).alias("score"))
+    g = usage.groupBy(key).agg(*[recency(k).alias(f"r{n}") for n, k in enumerate(("api_request", "plan_run", "ai_call"))], rounded(F.least(F.lit(25.0), used / 6 * 25), 2).alias("r3"))
+    g = g.select(key, rounded(F.col("r0") + F.col("r1") + F.col("r2") + F.col("r3"), 1).alias("score"))
     g = g.withColumn("status", F.when(F.col("score") >= 60, "active").when(F.col("score") >= 30, "at_risk").otherwise("churning"))
     if previous is None:
         return g
