@@ -38,6 +38,12 @@ def test_health_scores_just_under_a_half_round_as_in_sql(spark, tmp_path):
     assert sorted(got) == sorted(want) and {r[1] for r in got} >= {27.9, 14.6}
 
 
+def test_users_at_risk_without_an_id_come_last(spark, tmp_path):
+    rows = [(u, before(719 - u % 2), None if u == 30 else u, "click", 1.0, "{}") for u in range(31)]
+    got, want = both(spark, tmp_path, rows, "health_at_risk")
+    assert got == want and len(got) == 20
+
+
 def test_rounding(spark):
     df = spark.createDataFrame([(14.649999999999999, 14.7), (-2.25, -2.3), (0.04, 0.0), (None, None)], "x double, y double")
     assert df.where(~rounded(df["x"], 1).eqNullSafe(df["y"])).collect() == []

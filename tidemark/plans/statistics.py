@@ -221,7 +221,7 @@ def customer_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select user_id, score, status from ({HEALTH}) order by score, user_id limit 20")
 def health_at_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return _health(spark, sf).orderBy("score", "user_id").limit(20).select("user_id", "score", "status")
+    return _health(spark, sf).orderBy("score", F.col("user_id").asc_nulls_last()).limit(20).select("user_id", "score", "status")
 
 
 @query("select event_id, greatest(coalesce(try_cast(json_extract_string(props, '$.k') as double), 0), 0) as shuffle_read, 5.0 as shuffle_write, greatest(coalesce(try_cast(json_extract_string(props, '$.k') as double), 0), 0) + 5.0 as shuffle_bytes from events")
