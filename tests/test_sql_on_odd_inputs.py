@@ -7,6 +7,7 @@ import duckdb
 import __spark_entry__ as entry
 from tests.test_oracles import plain
 from tidemark.functions.scalar import rounded
+from tidemark.operators import stats
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -47,3 +48,16 @@ def test_users_at_risk_without_an_id_come_last(spark, tmp_path):
 def test_rounding(spark):
     df = spark.createDataFrame([(14.649999999999999, 14.7), (-2.25, -2.3), (0.04, 0.0), (None, None)], "x double, y double")
     assert df.where(~rounded(df["x"], 1).eqNullSafe(df["y"])).collect() == []
+
+
+def test_quantiles_of_many_values_without_a_key_are_one_row(spark):
+    df = spark.range(60_001).selectExpr("cast(id as double) as v")
+    assert [tuple(r) for r in stats.quantiles(df, [], "v", {"lo": 0.25, "hi": 0.95}).collect()] == [(15_000.0, 57_000.0)]
+    assert [tuple(r) for r in stats.floor_ranks(df.where("v < 20"), [], "v", {"p50": 0.5}, small=10).collect()] == [(10.0,)]
+    assert [tuple(r) for r in stats.quantiles(df.where("v < 0"), [], "v", {"p50": 0.5}).collect()] == [(None,)]
+
+
+def test_platform_health_of_events_without_a_type(spark, tmp_path):
+    rows = [(97 * n if n % 2 else n, before(n % 700), 2 + n % 8, "view" if n % 3 else None, 500.0 if n % 2 else float(n), "{}") for n in range(400)]
+    got, want = both(spark, tmp_path, rows, "platform_health")
+    assert got == want and len(got) == 1

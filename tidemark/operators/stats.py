@@ -185,7 +185,7 @@ def floor_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v"))
     run = _same(ranged, before, [*keys, "part"]).withColumn("upto", upto)
     out = run.groupBy(*keys).agg(*[F.max(F.when((F.col("upto") > rank(x)) & (F.col("upto") - F.col("c") <= rank(x)), F.col("v"))).alias(name) for name, x in shares.items()])
-    return sorted_(few).union(out)
+    return sorted_(few).union(out) if keys else out  # without keys, an aggregate of no rows is a row
 
 
 def rollup(telemetry: DataFrame, unit: str) -> DataFrame:
