@@ -93,3 +93,24 @@ def test_impact_of_each_kind_of_change(spark):
         "a": (1, ["gone"], [], "BREAKING"), "b": (2, ["new"], [], "BREAKING"), "c": (1, ["n"], [], "WARNING"),
         "d": (2, ["n2"], [], "BREAKING"), "e": (3, [], ["gone COLUMN_REMOVED"], "BREAKING"),
     }
+
+
+def test_large_tables_are_never_broadcast(spark, monkeypatch):
+    """Sizes of written and exploded tables are guessed too low, so joins say themselves which table is small; here none is."""
+    plans, cut = [], G.cut
+    seen = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(G, "cut", lambda df: seen(df) or cut(df))
+    monkeypatch.setattr(G, "SMALL", 0, raising=False)
+    pairs = tangled(1) | {(1000 + i, 1001 + i) for i in range(30)}
+    e = spark.createDataFrame(sorted(pairs), EDGE)
+    got = G.closure(e, spark.createDataFrame([(3,), (1000,)], "seed long"), levels=2)
+    seen(got)
+    far = reach(pairs)
+    assert {(r["seed"], r["node"]): r["depth"] for r in got.collect()} == {(a, b): d for a in (3, 1000) for b, d in far[a].items()}
+    every = spark.range(1031).selectExpr("id as node")
+    refs, contracts = every.selectExpr("node", "1000L as table", "explode(array('a', 'b', 'b')) as column"), every.selectExpr("node", "'A' as column", "'int' as data_type")
+    changes = spark.createDataFrame([(1000, "b", "TYPE_CHANGE", "int", "bigint", None), (1000, "a", "ADD", None, None, None)], "table long, column string, kind string, old_type string, new_type string, new_name string")
+    out = G.impact(e, refs, contracts, changes)
+    seen(out)
+    assert {(r["node"], r["depth"], tuple(r["columns"]), r["severity"]) for r in out.collect()} == {(1000 + k, k, ("a", "b"), "WARNING") for k in range(1, 31)}
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]

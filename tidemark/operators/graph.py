@@ -15,6 +15,15 @@ def _pairs(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b")).where("a is not null and b is not null").distinct()
 
 
+#: Rows of a table that a join may send to the driver and all executors.
+SMALL = 50_000
+
+
+def _near(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows, for a join: sent to all executors if it is small, else joined by sorting. Spark alone goes by bytes, of files or of a shuffle, and takes a million numbers, which compress well, for small."""
+    return F.broadcast(df) if n <= SMALL else df.hint("merge")
+
+
 def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None, levels: int = 12) -> DataFrame:
     """(seed, node, depth): nodes reached from each seed (itself left out) and the fewest steps to them. seeds: (seed).
 
@@ -25,11 +34,14 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_dep
     """
     e = cut(_pairs(edges, direction))
     found = cut(seeds.select("seed").where("seed is not null").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
-    frontier = found
+    frontier, n = found, found.count()
+    total = n
     for depth in range(1, min(levels, max_depth if max_depth is not None else levels) + 1):
-        step = frontier.join(e, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
-        frontier = cut(step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        step = _near(frontier, n).join(e, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
+        frontier = cut(step.join(_near(found.select("seed", "node"), total), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        n = frontier.count()
+        total += n
+        if not n:
             return found.where("depth > 0")
         found = cut(found.union(frontier)) if depth % 8 == 0 else found.union(frontier)
     if max_depth is None or levels < max_depth:
@@ -41,20 +53,23 @@ def _far(e: DataFrame, frontier: DataFrame, found: DataFrame, max_depth: int | N
     """found and what lies beyond the frontier, over express edges."""
     line = chains(e, frontier.select("node"))
     inner = cut(line.where("head is not null").select("node", "head", "steps"))
+    m = inner.count()
     around = inner.select("node")
-    direct = e.join(around.withColumnRenamed("node", "b"), "b", "left_anti")
-    fast = direct.join(around.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b", F.lit(1).alias("w"))
-    fast = cut(fast.union(direct.join(inner.withColumnRenamed("node", "a"), "a").select(F.col("head").alias("a"), "b", (F.col("steps") + 1).alias("w"))))
+    direct = e.join(_near(around.withColumnRenamed("node", "b"), m), "b", "left_anti")
+    fast = direct.join(_near(around.withColumnRenamed("node", "a"), m), "a", "left_anti").select("a", "b", F.lit(1).alias("w"))
+    fast = cut(fast.union(direct.join(_near(inner.withColumnRenamed("node", "a"), m), "a").select(F.col("head").alias("a"), "b", (F.col("steps") + 1).alias("w"))))
     near = cut(found)
+    n = frontier.count()
     while True:
-        step = frontier.join(fast, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), (F.col("depth") + F.col("w")).alias("depth"))
+        step = _near(frontier, n).join(fast, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), (F.col("depth") + F.col("w")).alias("depth"))
         step = step if max_depth is None else step.where(F.col("depth") <= max_depth)
-        better = step.groupBy("seed", "node").agg(F.min("depth").alias("depth")).join(near.select("seed", "node", F.col("depth").alias("known")), ["seed", "node"], "left")
+        better = step.groupBy("seed", "node").agg(F.min("depth").alias("depth")).join(_near(near.select("seed", "node", F.col("depth").alias("known")), near.count()), ["seed", "node"], "left")
         frontier = cut(better.where("known is null or depth < known").select("seed", "node", "depth"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
         near = cut(near.union(frontier).groupBy("seed", "node").agg(F.min("depth").alias("depth")))
-    passed = near.join(inner.withColumnRenamed("node", "member"), F.col("node") == F.col("head")).select("seed", F.col("member").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
+    passed = near.join(_near(inner.withColumnRenamed("node", "member"), m), F.col("node") == F.col("head")).select("seed", F.col("member").alias("node"), (F.col("depth") + F.col("steps")).alias("depth"))
     passed = passed if max_depth is None else passed.where(F.col("depth") <= max_depth)
     return near.union(passed).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
@@ -81,15 +96,16 @@ def chains(e: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     smallest node of the cycle. Pointers double each round.
     """
     ins, outs = e.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("prev")).where("n = 1"), e.groupBy("a").agg(F.count("*").alias("n")).where("n = 1")
-    inner = ins.select(F.col("b").alias("node"), "prev").join(outs.select(F.col("a").alias("node")), "node", "left_semi")
+    inner = ins.select(F.col("b").alias("node"), "prev").join(outs.select(F.col("a").alias("node")).hint("merge"), "node", "left_semi")
     if keep is not None:
-        inner = inner.join(keep.select("node").distinct(), "node", "left_anti")
+        inner = inner.join(keep.select("node").distinct().hint("merge"), "node", "left_anti")
     inner = cut(inner)
+    n = inner.count()
     one = inner.select(F.col("node").alias("prev"), F.lit(True).alias("on"))
-    now = cut(inner.join(one, "prev", "left").select("node", F.col("prev").alias("at"), F.col("on").isNotNull().alias("going"), F.col("node").alias("first"), F.lit(1).alias("steps"), F.col("node").alias("least")))
+    now = cut(inner.join(_near(one, n), "prev", "left").select("node", F.col("prev").alias("at"), F.col("on").isNotNull().alias("going"), F.col("node").alias("first"), F.lit(1).alias("steps"), F.col("node").alias("least")))
     while True:
         there = now.select(F.col("node").alias("at"), *[F.col(c).alias(f"next {c}") for c in ("at", "going", "first", "steps", "least")])
-        moved = now.where("going").join(there, "at").select(
+        moved = now.where("going").join(_near(there, n), "at").select(
             "node", F.col("next at").alias("at"), F.col("next going").alias("going"), F.col("next first").alias("first"), (F.col("steps") + F.col("next steps")).alias("steps"), F.least("least", "next least").alias("least"),
             (~F.col("next going") | (F.col("next least") < F.col("least"))).alias("changed"))
         moved = cut(moved)
@@ -247,14 +263,14 @@ def impact(edges: DataFrame, refs: DataFrame, contracts: DataFrame, changes: Dat
     """
     ch = changes.select("table", F.lower("column").alias("column"), "kind", "old_type", "new_type", F.lower("new_name").alias("new_name"))
     reach = cut(closure(edges, ch.select(F.col("table").alias("seed")).distinct()))
-    hit = reach.withColumnRenamed("seed", "table").join(ch, "table")
+    hit = reach.withColumnRenamed("seed", "table").join(_near(ch, ch.count()), "table")
     names = hit.withColumn("column", F.explode(F.array_compact(F.array("column", "new_name"))))
     change = F.when(F.col("kind").isin("REMOVE", "RENAME"), 2).when(F.col("kind") == "TYPE_CHANGE", F.when(compatible(F.col("old_type"), F.col("new_type")) | F.col("old_type").isNull() | F.col("new_type").isNull(), 1).otherwise(2)).otherwise(0)
-    read = names.join(refs.select("node", "table", F.lower("column").alias("column")).distinct(), ["node", "table", "column"]).groupBy("node").agg(F.sort_array(F.collect_set("column")).alias("columns"), F.max(change).alias("rank"))
+    read = names.join(refs.select("node", "table", F.lower("column").alias("column")).hint("merge"), ["node", "table", "column"], "left_semi").groupBy("node").agg(F.sort_array(F.collect_set("column")).alias("columns"), F.max(change).alias("rank"))
     what = F.when(F.col("kind") == "REMOVE", "COLUMN_REMOVED").when(F.col("kind") == "RENAME", "COLUMN_RENAMED").when((F.col("kind") == "TYPE_CHANGE") & F.col("new_type").isNotNull() & ~compatible(F.col("data_type"), F.col("new_type")), "TYPE_CHANGED")
-    broken = hit.join(contracts.select("node", F.lower("column").alias("column"), "data_type"), ["node", "column"]).withColumn("what", what).where("what is not null")
+    broken = hit.join(contracts.select("node", F.lower("column").alias("column"), "data_type").hint("merge"), ["node", "column"]).withColumn("what", what).where("what is not null")
     broken = broken.groupBy("node").agg(F.sort_array(F.collect_set(F.concat("column", F.lit(" "), "what"))).alias("violations"))
-    g = reach.groupBy("node").agg(F.min("depth").alias("depth")).join(read, "node", "left").join(broken, "node", "left")
+    g = reach.groupBy("node").agg(F.min("depth").alias("depth")).join(read.hint("merge"), "node", "left").join(broken.hint("merge"), "node", "left")
     none = F.array().cast("array<string>")
     rank = F.when(F.col("violations").isNotNull(), 2).otherwise(F.coalesce("rank", F.lit(0)))
     return g.select("node", "depth", F.coalesce("columns", none).alias("columns"), F.coalesce("violations", none).alias("violations"), F.element_at(F.array(F.lit("INFO"), F.lit("WARNING"), F.lit("BREAKING")), rank + 1).alias("severity"))
