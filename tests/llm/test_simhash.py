@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import common, stages
 from tidemark.llm import simhash as S
 from tidemark.llm.common import components
 
@@ -111,3 +112,25 @@ def test_unlike_texts_alone_in_a_key_do_not_meet(spark, monkeypatch):
     of = {x.row: (x.component, x.own) for x in S.near_texts(spark.createDataFrame(rows, "row long, text string"), "row").collect()}
     assert len(set(of.values())) == 3000 and of[0] == of[3000]
     assert 2 <= met[0] <= 30
+
+
+def test_no_join_of_keys_is_broadcast(spark, monkeypatch):
+    """The keys of a small table are a hundred times its rows, and Spark sizes them by the table's bytes."""
+    plans, write = [], type(spark.range(1).write).parquet
+
+    def watched(self, path, *args, **more):
+        plans.append(self._df._jdf.queryExecution().sparkPlan().toString())
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", watched)
+    monkeypatch.setattr(common, "BROADCAST", -1, raising=False)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(40)) for _ in range(60)) for _ in range(12)]
+    df = spark.createDataFrame([(i, t + " end" * (i % 3)) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    out, kept = S.near_duplicates(df), stages.copies(spark, df, "")
+    plans += [x._jdf.queryExecution().sparkPlan().toString() for x in (out, kept)]
+    # a table of marks has a fixed size, and says so
+    joins = [line for p in plans for line in p.splitlines() if "Broadcast" in line and "word of marks" not in line]
+    assert len(plans) > 20 and not joins and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert out.select("component_id").distinct().count() == kept.count() == 12

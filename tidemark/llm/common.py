@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 # slots of a bit table: 2^23 bits are 131,072 rows of a broadcast
 SLOTS = 1 << 23
+# what a join may send to the driver and all executors unasked, while a table is written: Spark goes by the bytes of the table that was read, and its rows' keys, once exploded or made in Python, may be a hundred times that
+BROADCAST = 256 << 10
 # while a table is written: its shuffle files go when it is there, and Python tasks get pieces of few MB at a time
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
@@ -52,6 +54,12 @@ def holding(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def writing(spark: SparkSession) -> AbstractContextManager[None]:
+    """WRITING, and joins that send no more than BROADCAST bytes of their own accord."""
+    most = min(BROADCAST, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return holding(spark, WRITING | {"spark.sql.autoBroadcastJoinThreshold": str(most)})
+
+
 def cut(df: DataFrame, where: list[str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and it is computed once.
 
@@ -59,7 +67,7 @@ def cut(df: DataFrame, where: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    with holding(spark, WRITING):
+    with writing(spark):
         df.write.parquet(path)
     if where is not None:
         where.append(path)
@@ -161,7 +169,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", where: list
         old, now = now, []
         nxt = cut(out.where("a <> b").distinct(), now)
         # settled when every node has one edge, to a node that has none of its own
-        bad = nxt.groupBy("a").count().where("count > 1").limit(1).count() or nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+        with writing(spark):
+            bad = nxt.groupBy("a").count().where("count > 1").limit(1).count() or nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         e = nxt
         drop(spark, old)
         if not bad:

@@ -346,7 +346,7 @@ def near_texts(docs: DataFrame, row_col: str, text_col: str = "text", shingle: i
     linked = components(edges, "a", "b").withColumnRenamed("node", "name")
     linked = linked.union(linked.select("root", "root").distinct())
     # texts that nothing else is linked to are told apart by all 128 bits
-    out = rows.select("row", "name", "check").join(linked, "name", "left")
+    out = rows.select("row", "name", "check").join(linked.hint("merge"), "name", "left")
     return out.select(F.col("row").alias(row_col), F.coalesce("root", "name").alias("component"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("own"))
 
 
@@ -364,6 +364,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = components(links(classes, bits))
     rooted = cut(classes.select("fp", "least").join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    to = rooted.join(low, "root").select("fp", "component_id")
+    to = rooted.join(low.hint("merge"), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(to, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+    return rows.join(to.hint("merge"), "fp").select(F.col("id").alias(id_col), hexed, "component_id")
