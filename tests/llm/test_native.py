@@ -178,3 +178,16 @@ def test_windows_of_a_text_without_names_come_once(spark):
     two = spark.createDataFrame([("a b c d e f g",), ("x c d e f g",)], "t string").select(D._windows(F.col("t"), [5], None).alias("w")).collect()
     h = [{w.pos: w.h for w in r.w if w.form == 0} for r in two]
     assert h[0][2] == h[1][1] and len(set(h[0].values()) | set(h[1].values())) == 4
+
+
+def test_windows_of_a_large_benchmark_are_not_broadcast(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(1, "we ask how many apples fit into the large green box on monday")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "how many apples fit into the large green box")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    joined = lambda df: [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [h#" in x]
+    few = decontaminate.leaks(docs, items)
+    assert any("Broadcast" in x for x in joined(few))
+    monkeypatch.setattr(decontaminate, "SMALL", 0, raising=False)
+    out = decontaminate.leaks(docs, items)
+    assert not [x for x in joined(out) if "Broadcast" in x] and [r.item for r in out.collect()] == [r.item for r in few.collect()] == [7]

@@ -32,6 +32,8 @@ FUNCTION = (
 ).split()
 SEPARATOR = f"[^\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}]+"
 SLOTS = 1 << 19
+# slots of windows up to which Spark may send them to the driver and all executors
+SMALL = 50_000
 
 
 def typed(text: Column) -> Column:
@@ -131,6 +133,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     # at most SLOTS rows, whatever the benchmark's size
     for r in own.select(F.pmod("h", F.lit(SLOTS)).alias("k")).distinct().collect():
         marks[r.k] = 1
+    if sum(marks) > SMALL:
+        # Spark sizes the windows by the bytes of their items' texts
+        own = own.hint("merge")
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)), F.explode(_windows(text, [width, *short], bytes(marks))).alias("w"))
     seen = seen.select("id", "k1", "k2", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots")).distinct()
